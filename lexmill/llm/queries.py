@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, mixing, sharding
+from lexmill.llm import bpe, gam, mixing, rules, sharding
 from lexmill.llm.scratch import Scratch, read_table
 
 #: Shards of the sharding query.
@@ -24,6 +24,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    return rules.judge(docs, labels, Scratch(spark, "rules"))[0]
+
+
+def op6_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    return gam.classify(docs, labels, Scratch(spark, "gam"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
 
@@ -35,6 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_rules": op2_rules,
+    "op6_gam": op6_gam,
     "op5_sharding": op5_sharding,
     "op10_mixing": op10_mixing,
 }
