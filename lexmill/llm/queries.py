@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, gam, mixing, rules, sharding
+from lexmill.llm import bpe, chat, gam, langid, mixing, rules, sharding
 from lexmill.llm.scratch import Scratch, read_table
 
 #: Shards of the sharding query.
@@ -34,6 +34,22 @@ def op6_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(docs, labels, Scratch(spark, "gam"))
 
 
+#: The conversation added to the table: both its turns hold control strings.
+HARD_CONVERSATION, HARD_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    hard = spark.createDataFrame([(HARD_CONVERSATION, k, role, HARD_TEXT) for k, role in enumerate(("user", "assistant"))], rows.schema)
+    scratch = Scratch(spark, "chat")
+    messages = scratch.write(chat.conversation_turns(rows.unionByName(hard)), "messages")
+    return chat.read_back(chat.format_paths(messages, chat.choose_paths(messages, scratch))).drop("path").withColumnRenamed("tree", "conv_id")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_all(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
 
@@ -46,6 +62,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
+    "op3_chat": op3_chat,
+    "op8_langid": op8_langid,
     "op6_gam": op6_gam,
     "op5_sharding": op5_sharding,
     "op10_mixing": op10_mixing,
