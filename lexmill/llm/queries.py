@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, gam, langid, mixing, rules, sharding
+from lexmill.llm import bpe, chat, gam, langid, mixing, rules, sharding, topk
 from lexmill.llm.scratch import Scratch, read_table
 
 #: Shards of the sharding query.
@@ -46,6 +46,30 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_paths(messages, chat.choose_paths(messages, scratch))).drop("path").withColumnRenamed("tree", "conv_id")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Scratch(spark, "topk"))
+
+
+OP4_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_all(read_table(spark, sf_dir, "documents"))
 
@@ -63,10 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
     "op3_chat": op3_chat,
+    "op4_topk": op4_topk,
     "op8_langid": op8_langid,
     "op6_gam": op6_gam,
     "op5_sharding": op5_sharding,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL}
