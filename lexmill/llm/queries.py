@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, gam, langid, mixing, rules, sharding, topk
+from lexmill.llm import bpe, chat, gam, langid, minhash, mixing, rules, sharding, topk
 from lexmill.llm.scratch import Scratch, read_table
 
 #: Shards of the sharding query.
@@ -70,6 +70,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "minhash"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_all(read_table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rules": op2_rules,
     "op3_chat": op3_chat,
     "op4_topk": op4_topk,
+    "op7_minhash": op7_minhash,
     "op8_langid": op8_langid,
     "op6_gam": op6_gam,
     "op5_sharding": op5_sharding,
