@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, gam, langid, minhash, mixing, rules, sharding, topk
+from lexmill.llm import bpe, chat, gam, langid, minhash, mixing, rules, sharding, suffixes, topk
 from lexmill.llm.scratch import Scratch, read_table
 
 #: Shards of the sharding query.
@@ -82,6 +82,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "suffixes"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), Scratch(spark, "mixing"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op6_gam": op6_gam,
     "op5_sharding": op5_sharding,
+    "op9_suffixes": op9_suffixes,
     "op10_mixing": op10_mixing,
 }
 
