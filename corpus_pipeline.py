@@ -1,12 +1,56 @@
-"""Corpus preparation: each stage reads the documents that the one before it wrote."""
+"""Corpus preparation: language ID, near-dedup, suffix-array dedup, mixing, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns the
+columns of documents; the last returns the tokens of each mixed document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexmill.llm import bpe, langid, minhash, mixing, suffixes
+from lexmill.llm.queries import vocabulary_path
 from lexmill.llm.scratch import Scratch, read_table
 
-STAGES: list = []
+#: A language this unlikely, or none at all, is a reason to reject a document.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those whose language stays unclear."""
+    found = langid.identify(docs, langid.train(docs.select("doc_id", "text", "lang")), keep=tuple(docs.columns), with_text=True)
+    clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return found.filter(clear).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, and one row of each doc_id."""
+    return minhash.drop_duplicates(docs, Scratch(spark, "minhash"))
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts byte strings that an earlier document, or the same one, holds already."""
+    return suffixes.deduplicate(docs, Scratch(spark, "suffixes"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as its source's target weight asks for."""
+    return mixing.mix(docs, Scratch(spark, "mixing"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of each mixed document."""
+    return bpe.encode_digests(spark, docs, vocabulary_path(), keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("suffix_array_dedup", suffix_stage),
+    ("source_mixing", mixing_stage),
+    ("bpe_encoding", token_stage),
+]
 
 #: SQL has no equivalent of these stages; the tests hold them against brute force.
 ORACLE_SQL = None

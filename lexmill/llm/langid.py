@@ -150,16 +150,20 @@ def train(docs: DataFrame) -> Model:
     return fit([text for _, text in kept], [lang for lang, _ in kept])
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus lang_pred and score of every whole text."""
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """``keep`` columns plus lang_pred and score of every whole text.
+
+    with_text: the text is one of ``keep`` and goes to the workers once.
+    """
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if with_text else [F.col("text").alias("__text")]))
+    at = keep.index("text") if with_text else len(keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.predict(batch.column(len(keep)).to_pylist())
+            found = shared.value.predict(batch.column(at).to_pylist())
             more = [pa.array([lang for lang, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *more], [*keep, "lang_pred", "score"])
 

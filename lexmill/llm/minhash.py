@@ -253,3 +253,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     out = signed.join(of_set, "name", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` without the rows that are not kept, and one row of each doc_id.
+
+    Ids to drop, and ids that rows repeat, are written tables: their sizes tell Spark whether the
+    texts need a shuffle.
+    """
+    judged = scratch.write(near_duplicates(docs, scratch), "judged")
+    drop = scratch.write(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "drop")
+    repeated = scratch.write(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    left = docs.join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    same = F.col("doc_id") == F.col("__id")
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
