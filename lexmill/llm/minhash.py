@@ -227,8 +227,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = asked.select("a", "chunk", F.col("b").alias("member"), F.col("b").alias("doc_id")).unionByName(
         asked.select("a", "chunk").distinct().select("a", "chunk", F.lit(None).cast("bigint").alias("member"), F.col("a").alias("doc_id"))
     )
-    wanted = scratch.write(wanted, "wanted")  # its size tells Spark whether the texts need a shuffle
-    sent = texts.join(wanted, "doc_id").select("a", "chunk", "member", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
+    # the texts are dealt by id at any size, so that a larger corpus runs the plan of a smaller one
+    wanted = scratch.write(wanted, "wanted")
+    sent = texts.hint("merge").join(wanted, "doc_id").select("a", "chunk", "member", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
     links = scratch.write(sent.mapInArrow(_against_center, "a long, b long"), "links")
     first = scratch.write(components(links, scratch, "first"), "first")
 
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spread = spread.select("key", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "id", "component").join(slim, "id")
     grouped = spread.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
     doubtful = scratch.write(grouped.mapInArrow(_may_link, "grp binary, x int, y int, id long, component long").distinct(), "doubtful")
-    meet = texts.withColumnRenamed("doc_id", "id").join(doubtful, "id").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
+    meet = texts.withColumnRenamed("doc_id", "id").hint("merge").join(doubtful, "id").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
     more = scratch.write(meet.select("grp", "x", "y", "id", "component", "text").mapInArrow(_across, "a long, b long"), "more")
     repeated = real.filter("name IS NOT NULL").select(F.col("doc_id").alias("a"), "name").join(classes, "name").select("a", F.col("id").alias("b"))
     same_id = repeated.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -258,13 +259,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def drop_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows that are not kept, and one row of each doc_id.
 
-    Ids to drop, and ids that rows repeat, are written tables: their sizes tell Spark whether the
-    texts need a shuffle.
+    The texts are dealt by id at any size; ids that rows repeat are rare, and looked at only if any.
     """
     judged = scratch.write(near_duplicates(docs, scratch), "judged")
     drop = scratch.write(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "drop")
     repeated = scratch.write(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
-    left = docs.join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
+    left = docs.hint("merge").join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
     if repeated.isEmpty():
         return left
     same = F.col("doc_id") == F.col("__id")
