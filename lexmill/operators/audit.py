@@ -66,8 +66,11 @@ def resolvable(fields: Column, resolved: Column) -> Column:
 
 def matching_names(needles: tuple[str, ...], field_order: Column) -> Column:
     """Field names that contain a needle, in the order of needles, then of fields."""
-    hits = [F.filter(field_order, lambda f, n=n: F.contains(F.lower(f), F.lit(n))) for n in needles]
-    return F.array_distinct(F.flatten(F.array(*hits)))
+
+    def holding(needle: str) -> Column:
+        return F.filter(field_order, lambda f: F.contains(F.lower(f), F.lit(needle)))
+
+    return F.array_distinct(F.flatten(F.array(*map(holding, needles))))
 
 
 def suggestions(role: str, field_order: Column) -> Column:

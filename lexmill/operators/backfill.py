@@ -95,9 +95,14 @@ def repair(planned: DataFrame, answers: DataFrame, target: int, reading: Column
     made = F.coalesce(made, F.when(added != "", F.concat(added, cards.sentences_part(c("sentence")))), c("sentence"))
     changes = {"secondary": second, "english": english, "sentence": made}
     ok = c("a_error").isNull()
-    fields = c("fields")
-    for role, new in changes.items():
-        fields = F.transform_values(fields, lambda k, v, role=role, new=new: F.when(ok & (k == c(f"resolved.{role}")) & (k != c("resolved.headword")), new).otherwise(v))
+
+    def changed(name: Column, old: Column) -> Column:
+        out = F.when(~ok | (name == c("resolved.headword")), old)
+        for role, new in changes.items():
+            out = out.when(name == c(f"resolved.{role}"), new)
+        return out.otherwise(old)
+
+    fields = F.transform_values("fields", changed)
     touched = F.array_compact(F.array(*[F.when(ok & (new != c(role)), c(f"resolved.{role}")) for role, new in changes.items()]))
     return rows.select(*[x for x in planned.columns if x != "fields"], fields.alias("fields"), touched.alias("touched"), c("a_error").alias("error"))
 
