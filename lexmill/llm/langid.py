@@ -95,15 +95,28 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     model = Model(sorted(set(langs)))
     if not texts:
         return model
-    counts = np.stack([gram_counts(t) for t in texts])
-    model.idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1
-    x = np.log1p(counts) * model.idf
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    # the sample stays sparse: a batch at a time becomes dense
+    rows, seen = [], np.zeros(DIMS)
+    for text in texts:
+        counts = gram_counts(text)
+        at = np.flatnonzero(counts)
+        seen[at] += 1
+        rows.append((at.astype(np.int32), np.log1p(counts[at])))
+    model.idf = np.log((1 + len(texts)) / (1 + seen)) + 1
+
+    def dense(part) -> np.ndarray:
+        out = np.zeros((len(part), DIMS + 1))
+        out[:, -1] = 1.0
+        for k, i in enumerate(part):
+            at, value = rows[i]
+            value = value * model.idf[at]
+            out[k, at] = value / max(float(np.sqrt((value * value).sum())), 1e-12)
+        return out
+
     y = np.array([model.langs.index(v) for v in langs])
-    calibrates = np.arange(len(y)) % 5 == 4
-    train = np.flatnonzero(~calibrates)
+    calibrates = np.flatnonzero(np.arange(len(y)) % 5 == 4)
+    train = np.flatnonzero(np.arange(len(y)) % 5 != 4)
     one = np.eye(len(model.langs))
-    full = np.hstack([x, np.ones((len(y), 1))])
     z, n = np.zeros((DIMS + 1, len(model.langs))), np.zeros((DIMS + 1, len(model.langs)))
     penalty = np.full((DIMS + 1, 1), L1)
     penalty[-1] = 0.0
@@ -111,15 +124,15 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     rng = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
-            w = solve()
-            g = full[part].T @ (softmax(full[part] @ w) - one[y[part]]) / len(part)
+            w, x = solve(), dense(part)
+            g = x.T @ (softmax(x @ w) - one[y[part]]) / len(part)
             sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA
             z += g - sigma * w
             n += g * g
     w = solve()
     model.weight, model.bias = w[:-1], w[-1]
-    if calibrates.any():
-        logits = model.logits(x[calibrates])
+    if len(calibrates):
+        logits = np.concatenate([dense(part) @ w for part in np.array_split(calibrates, -(-len(calibrates) // 64))])
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(logits)), y[calibrates]] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.02, 5.0, 120), key=loss))
     return model
