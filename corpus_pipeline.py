@@ -14,7 +14,7 @@ from lexmill.llm.queries import vocabulary_path
 from lexmill.llm.scratch import Scratch, read_table
 
 #: A language this unlikely, or none at all, is a reason to reject a document.
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
