@@ -160,7 +160,8 @@ def audit(notes: DataFrame, overrides: Mapping[str, Mapping[str, str]] | None =
     ready = with_values(known.filter(resolvable(F.col("fields"), F.col("resolved"))))
     if options.get("check_content"):
         ready = keyed_sentences(ready)
-    return ready.withColumn("reasons", reasons(F.col("lang"), **options)).filter(F.size("reasons") > 0)
+    # a generator, so that the filter above it doesn't repeat the rules
+    return ready.select("*", F.explode(F.array(reasons(F.col("lang"), **options))).alias("reasons")).filter(F.size("reasons") > 0)
 
 
 def keyed_sentences(ready: DataFrame) -> DataFrame:

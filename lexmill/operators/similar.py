@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import hangul
 from lexmill.functions.patterns import has_notation
-from lexmill.functions.strings import term_key, vectorised
+from lexmill.functions.strings import let, term_key, vectorised
 from lexmill.operators.rows import first_seen
 
 #: Tolerance of the upper bound, so that rounding never drops a pair.
@@ -37,13 +37,12 @@ def numbered(chars: Column) -> Column:
 def prepare(terms: DataFrame, lang: str) -> DataFrame:
     """Comparison columns of (ord, term), once per term."""
     base = terms.select("ord", "term", term_key(F.col("term")).alias("norm")).filter("norm <> ''")
-    base = base.withColumn("units", hangul.units(F.col("norm"), lang)).withColumn("chars", characters(F.col("units")))
-    notation = has_notation(F.col("term"))
-    return base.select(
-        "ord", "term", "norm", "units", F.array_distinct("chars").alias("letters"), numbered(F.col("chars")).alias("bag"),
-        F.size("chars").alias("n"), F.length("norm").alias("n_norm"),
-        (hangul.stem(F.col("units")) if lang == "ko" else F.lit("")).alias("stem"),
-        notation.alias("notation"), hangul.variant_keys(F.col("term")).alias("variants"),
+    split = lambda chars, u: F.struct(u.alias("units"), F.array_distinct(chars).alias("letters"), numbered(chars).alias("bag"), F.size(chars).alias("n"), (hangul.stem(u) if lang == "ko" else F.lit("")).alias("stem"))
+    made = let(hangul.units(F.col("norm"), lang), lambda u: let(characters(u), lambda chars: split(chars, u)))
+    keyed = base.select("ord", "term", "norm", F.explode(F.array(made)).alias("p"))
+    return keyed.select(
+        "ord", "term", "norm", "p.units", "p.letters", "p.bag", "p.n", F.length("norm").alias("n_norm"), "p.stem",
+        has_notation(F.col("term")).alias("notation"), hangul.variant_keys(F.col("term")).alias("variants"),
     )
 
 
@@ -67,9 +66,17 @@ def _rare_first(prepared: DataFrame, column: str) -> DataFrame:
     return flat.join(counts, "token").select("ord", "n_set", "token", F.row_number().over(order).alias("rank"))
 
 
-def _prefixes(ranked: DataFrame, share: float) -> DataFrame:
-    """The part of each list of which any partner sharing ``share`` of it holds one token."""
-    return ranked.filter(F.col("rank") <= F.col("n_set") - F.ceil(F.col("n_set") * F.lit(share) - F.lit(SLACK)) + 1).select("ord", F.col("token").alias("key"))
+def _prefix_pairs(ranked: DataFrame, share: float, needed: float) -> DataFrame:
+    """Pairs whose rare-first lists may share ``needed`` times the sum of their sizes.
+
+    A list's prefix is the part of which any partner sharing ``share`` of it holds one token. The first
+    token that two lists share also bounds what they can share after it, which the filter asks for.
+    """
+    kept = ranked.filter(F.col("rank") <= F.col("n_set") - F.ceil(F.col("n_set") * F.lit(share) - F.lit(SLACK)) + 1)
+    other = kept.select("token", F.col("ord").alias("other"), F.col("n_set").alias("m_set"), F.col("rank").alias("place"))
+    left = F.least(F.col("n_set") - F.col("rank"), F.col("m_set") - F.col("place")) + 1
+    met = kept.join(other, "token").filter((F.col("ord") < F.col("other")) & (left >= F.lit(needed) * (F.col("n_set") + F.col("m_set")) - F.lit(SLACK)))
+    return met.select(F.col("ord").alias("ord_a"), F.col("other").alias("ord_b"))
 
 
 def _neighbours(prepared: DataFrame, least: int) -> DataFrame:
@@ -100,10 +107,8 @@ def candidates(prepared: DataFrame, lang: str, threshold: float) -> DataFrame:
         stems = prepared.filter(F.length("stem") >= 2).select("ord", F.col("stem").alias("key"))
         found.append(_met(stems, stems))
     else:
-        short = _prefixes(_rare_first(prepared.filter("n_norm >= 2"), "letters"), STEM_OVERLAP)
-        found.append(_met(short, short))
-    bag = _prefixes(_rare_first(prepared, "bag"), threshold / (2 - threshold))
-    found.append(_met(bag, bag))
+        found.append(_prefix_pairs(_rare_first(prepared.filter("n_norm >= 2"), "letters"), STEM_OVERLAP, STEM_OVERLAP / (1 + STEM_OVERLAP)))
+    found.append(_prefix_pairs(_rare_first(prepared, "bag"), threshold / (2 - threshold), threshold / 2))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -152,11 +157,11 @@ def find_similar(terms: DataFrame, lang: str, threshold: float = 0.8, deck: Data
         # cards sort after all input terms, in code-point order; one row a different term
         cards = prepare(deck.select(F.lit(0).cast("bigint").alias("ord"), "term").distinct(), lang).dropDuplicates(["norm"])
         cards = cards.withColumn("ord", (F.row_number().over(order) + 2**40).cast("bigint"))
-    everything = prepared.unionByName(cards)
+    everything = _written(prepared.unionByName(cards), "terms")  # read by every rule; prepared once
     if threshold > 0:
         met = candidates(everything, lang, threshold)
     else:  # every pair is an answer, so every pair is made
-        met = prepared.select(F.col("ord").alias("ord_a")).join(everything.select(F.col("ord").alias("ord_b")), F.col("ord_a") < F.col("ord_b"))
+        met = everything.select(F.col("ord").alias("ord_a")).join(everything.select(F.col("ord").alias("ord_b")), F.col("ord_a") < F.col("ord_b"))
     met = met.filter(F.col("ord_a") < 2**40)
     pairs = met.join(_sided(everything, "a"), "ord_a").join(_sided(everything, "b"), "ord_b").filter("norm_a <> norm_b")
     source = F.when(F.col("ord_b") >= 2**40, "anki").otherwise("input")
