@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.sinks.scratch import written
+
+
+def numbered(df: DataFrame, *order: str, name: str = "ord") -> DataFrame:
+    """``df`` with its place in the global order, from 0, as a column.
+
+    Rows are dealt by range and numbered within their range; only one offset a range goes to the
+    rest, so no task sees all rows.
+    """
+    placed = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__range").count().select(F.col("__range").alias("__r"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    joined = placed.withColumn("__n", within).join(F.broadcast(offsets), F.col("__range") == F.col("__r"))
+    return joined.select((F.col("__offset") + F.col("__n")).cast("bigint").alias(name), *[F.col(f"`{c}`") for c in df.columns])
+
 
 def first_seen(df: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key by ``order``; one shuffle, with partial aggregation before it."""

@@ -17,6 +17,8 @@ from lexmill.functions import hangul
 from lexmill.functions.patterns import has_notation
 from lexmill.functions.strings import let, term_key, vectorised
 from lexmill.operators.rows import first_seen
+from lexmill.operators.rows import numbered as numbered_rows
+from lexmill.sinks.scratch import written
 
 #: Tolerance of the upper bound, so that rounding never drops a pair.
 SLACK = 1e-9
@@ -153,11 +155,10 @@ def find_similar(terms: DataFrame, lang: str, threshold: float = 0.8, deck: Data
     if deck is None:
         cards = prepared.limit(0)
     else:
-        order = Window.orderBy("norm")
         # cards sort after all input terms, in code-point order; one row a different term
         cards = prepare(deck.select(F.lit(0).cast("bigint").alias("ord"), "term").distinct(), lang).dropDuplicates(["norm"])
-        cards = cards.withColumn("ord", (F.row_number().over(order) + 2**40).cast("bigint"))
-    everything = _written(prepared.unionByName(cards), "terms")  # read by every rule; prepared once
+        cards = numbered_rows(cards.drop("ord"), "norm").withColumn("ord", F.col("ord") + 1 + 2**40).select(*prepared.columns)
+    everything = written(prepared.unionByName(cards), "terms")  # read by every rule; prepared once
     if threshold > 0:
         met = candidates(everything, lang, threshold)
     else:  # every pair is an answer, so every pair is made
@@ -178,13 +179,13 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     """(term, root): the least term that each term of the pairs reaches, by label propagation with
     pointer jumping; each round is cut from its lineage in the folder of spark.checkpoint.dir."""
     both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).union(pairs.select(F.col(b), F.col(a))).distinct()
-    links = _written(both, "links")
-    labels = _written(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "term"), "labels")
+    links = written(both, "links")
+    labels = written(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "term"), "labels")
     for k in range(rounds):
         around = links.join(labels, links.v == labels.term).groupBy("u").agg(F.min("root").alias("low"))
         lower = labels.join(around, labels.term == around.u, "left").select("term", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
         jump = labels.select(F.col("term").alias("t"), F.col("root").alias("r"))
-        now = _written(lower.join(jump, F.col("new") == F.col("t"), "left").select("term", "root", F.least("new", F.coalesce("r", "new")).alias("new")), f"labels{k}")
+        now = written(lower.join(jump, F.col("new") == F.col("t"), "left").select("term", "root", F.least("new", F.coalesce("r", "new")).alias("new")), f"labels{k}")
         changed = now.filter("new <> root").isEmpty()
         labels = now.select("term", F.col("new").alias("root"))
         if changed:
@@ -192,12 +193,6 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     raise RuntimeError("components did not settle")
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    from lexmill.sinks.scratch import written
-
-    return written(df, label)
-
-
 def clusters(pairs: DataFrame) -> DataFrame:
     """(cluster_id, members, size, keep): members by code point; the least (length, term) is kept."""
     found = components(pairs)

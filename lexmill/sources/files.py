@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.strings import strip, term_key
+from lexmill.operators.rows import numbered
 
 SUFFIXES = {"pdf": "pdf", "docx": "docx", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image"}
 EXAMPLE = "array<struct<target:string,english:string>>"
@@ -26,11 +27,12 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, term): the non-blank, stripped lines of a file or folder in order of path and line."""
-    text = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    lines = text.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
-    kept = lines.select("path", "line_no", strip(F.col("line")).alias("term")).filter("term <> ''")
-    return kept.select((F.row_number().over(Window.orderBy("path", "line_no")) - 1).cast("bigint").alias("ord"), "term")
+    """(ord, term): the non-blank, stripped lines of a file or folder in order of path and line.
+
+    Files are read in splits; path, split and the place within the split order the lines.
+    """
+    split = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), strip(F.col("value")).alias("term"))
+    return numbered(split.filter("term <> ''"), "path", "block", "at").select("ord", "term")
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -38,8 +40,8 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> Dat
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     kept = found.withColumn("kind", file_kind(F.col("path"))).filter(F.col("kind").isNotNull() & ~name.rlike("^[.~]"))
-    ranked = F.row_number().over(Window.orderBy("path")) - 1
-    return kept.select(ranked.cast("bigint").alias("ord"), "path", "kind", F.col("modificationTime").alias("modified"), "content")
+    order = numbered(kept.select(F.col("path").alias("__path")), "__path")  # paths alone; contents stay where they are
+    return kept.join(order, F.col("path") == F.col("__path")).select("ord", "path", "kind", F.col("modificationTime").alias("modified"), "content")
 
 
 def file_kind(path: Column) -> Column:
