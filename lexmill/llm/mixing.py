@@ -2,7 +2,7 @@
 
 Words are added up per source, each source's target divided by its words is its repetition rate,
 and a document is emitted floor(rate) times plus one more with the rate's fraction as probability.
-The draw compares an MD5 of the document's id and content CRC with the fraction, so reruns agree
+The draw compares an MD5 of the document's id and content with the fraction, so reruns agree
 on any cluster. Of ``SEEDS`` seeds each source uses the one whose draw ends nearest to its target.
 
 Defined results: sources are ordered by code point with null last; a null text has size 0; a
@@ -50,17 +50,22 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return per.select("source", "source_size", F.when(F.col("held"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _draw(seed: Column, crc: Column | None = None) -> Column:
+def content_name(text: Column) -> Column:
+    """Half of the MD5 of a text, a null one being empty."""
+    return F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16)
+
+
+def _draw(seed: Column, content: Column | None = None) -> Column:
     """A number in [0, 1) from the document's id, its content and the seed."""
-    crc = F.col("crc") if crc is None else crc
-    name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc.cast("string"), seed.cast("string"))
+    content = F.col("content") if content is None else content
+    name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), content, seed.cast("string"))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, source, size, crc) of every document; size is its number of words."""
+    """(doc_id, source, size, content) of every document; size is its number of words."""
     column = F.col(f"`{text}`")
-    return docs.select("doc_id", "source", F.size(words_of(column)).cast("bigint").alias("size"), F.crc32(F.coalesce(column, F.lit(""))).alias("crc"))
+    return docs.select("doc_id", "source", F.size(words_of(column)).cast("bigint").alias("size"), content_name(column).alias("content"))
 
 
 def plan_sources(sized: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,7 +90,7 @@ def with_source(docs: DataFrame, per_source: DataFrame) -> DataFrame:
 
 
 def copies() -> Column:
-    """How often the mix takes a row that has its source's plan and its crc."""
+    """How often the mix takes a row that has its source's plan and its content name."""
     return (F.col("whole") + F.when(_draw(F.col("seed")) < F.col("fraction"), 1).otherwise(0)).cast("bigint")
 
 
@@ -100,7 +105,6 @@ def mix(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """The mix itself: each document's row as often as it is taken, with the columns it came with."""
     plan = plan_sources(scratch.write(measure(docs, text), "sizes"), scratch)
     slim = plan.select(*[F.col(c).alias(f"__{c}") for c in ("source", "whole", "fraction", "seed")])
-    crc = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    n = (F.col("__whole") + F.when(_draw(F.col("__seed"), crc) < F.col("__fraction"), 1).otherwise(0)).cast("int")
+    n = (F.col("__whole") + F.when(_draw(F.col("__seed"), content_name(F.col(f"`{text}`"))) < F.col("__fraction"), 1).otherwise(0)).cast("int")
     taken = docs.join(slim, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", n).filter(F.col("__n") > 0)
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__copy")).drop("__copy")

@@ -91,6 +91,77 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+OP3_SQL = """
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, ['user', 'assistant'][k + 1], '\\### Assistant: </turn> ok' FROM range(2) AS t(k)
+),
+turns AS (
+  SELECT *, 4 + length(role) + length(regexp_replace(role, '[^:\\\\]', '', 'g')) + 2 + length(text) + 8
+    + length(regexp_replace(text, '[^\\\\]', '', 'g'))
+    + CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda r: length(r) - 2)), 0) AS BIGINT)
+    + len(regexp_extract_all(text, '</turn>')) AS formatted
+  FROM given
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(formatted) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z', '', 'g'), '[\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN w = [''] THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS s
+  FROM worded
+),
+classes AS (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s),
+flat AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.rep AS u, b.rep AS v FROM flat a JOIN flat b ON a.x = b.x AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT rep AS id, rep AS other FROM classes UNION SELECT r.id, w.v FROM reach r JOIN both_ways w ON w.u = r.other),
+roots AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN roots ON roots.id = classes.rep
+"""
+
+OP10_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5(coalesce(text, '')), 1, 16) AS content
+  FROM documents
+),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM per),
+running AS (
+  SELECT *, row_number() OVER o AS nth, sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_weight
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+),
+level AS (SELECT min(nth) AS nth, arg_min(rest, nth) AS rest, arg_min(rest_weight, nth) AS rest_weight FROM running WHERE rest * weight <= cap * rest_weight),
+targets AS (
+  SELECT r.source, source_size, CASE WHEN r.nth < l.nth THEN CAST(cap AS DOUBLE) ELSE CAST(l.rest * weight AS DOUBLE) / CAST(l.rest_weight AS DOUBLE) END AS target
+  FROM running r, level l
+),
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets),
+drawn AS (
+  SELECT s.*, source_size, target, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS fraction, seed,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || content || '/' || seed), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) AS more
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source, range(16) AS t(seed)
+),
+missed AS (SELECT source, seed, abs(sum(size * whole + CASE WHEN more THEN size ELSE 0 END) - first(target)) AS miss FROM drawn GROUP BY source, seed),
+chosen AS (SELECT source, arg_min(seed, (miss, seed)) AS seed FROM missed GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.seed = c.seed
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
@@ -104,4 +175,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_topk": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op7_minhash": OP7_SQL, "op10_mixing": OP10_SQL}
