@@ -129,7 +129,8 @@ def train(stats: DataFrame, labels: DataFrame) -> Gam:
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    stats = scratch.write(text_stats(docs).withColumns(measures()), "stats")
+    # measures come from the written counts, so that no count is taken twice
+    stats = scratch.write(text_stats(docs), "stats").withColumns(measures())
     model, names = train(stats, labels), list(measures())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
