@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.strings import IDEOGRAPH, WS, blank_if_null, strip
+from lexmill.functions.strings import IDEOGRAPH, WS, blank_if_null, let, strip
 
 _INNER = IDEOGRAPH[:-1] + WS[1:]
 INLINE_HANJA = rf"{WS}*\({WS}*({IDEOGRAPH}{_INNER}*){WS}*\){WS}*"
 
-# What is cut from a line, in this order.
+# What is cut from a line, in this order, and a character without which it can't occur.
 CUTS = (
-    rf"^{WS}*\p{{Nd}}+[.)]{WS}*",  # numbering
-    rf"^{WS}*[-•*]{WS}+",  # bullet
-    rf",{WS}*[A-Za-z][^\n]*\z",  # translation after a comma
-    rf";{WS}*[A-Za-z][^\n]*\z",  # after a semicolon
-    rf":{WS}*[A-Za-z][^\n]*\z",  # after a colon
-    rf"{WS}+-{WS}+[A-Za-z][^\n]*\z",  # after a dash
-    rf"{WS}*\([^)]*\){WS}*",  # parenthesis
+    (rf"^{WS}*\p{{Nd}}+[.)]{WS}*", ""),  # numbering
+    (rf"^{WS}*[-•*]{WS}+", ""),  # bullet
+    (rf",{WS}*[A-Za-z][^\n]*\z", ","),  # translation after a comma
+    (rf";{WS}*[A-Za-z][^\n]*\z", ";"),  # after a semicolon
+    (rf":{WS}*[A-Za-z][^\n]*\z", ":"),  # after a colon
+    (rf"{WS}+-{WS}+[A-Za-z][^\n]*\z", "-"),  # after a dash
+    (rf"{WS}*\([^)]*\){WS}*", "("),  # parenthesis
 )
 
 # A line of the language has one of these characters.
@@ -40,17 +40,31 @@ def bare_word(token: Column) -> Column:
 
 def clean_line(line: Column, lang: str) -> Column:
     """struct(word, hanja); word is null for lines to skip, hanja blank where there is none."""
-    text = strip(blank_if_null(line))
-    hanja = F.lit("")
-    if lang == "ko":
-        text, hanja = split_hanja(text)
-    for cut in CUTS:
-        text = F.regexp_replace(text, cut, "")
-    text = strip(text)
-    keep = text != ""
-    if lang in VALID:
-        keep = keep & text.rlike(VALID[lang])
-    return F.struct(F.when(keep, text).alias("word"), F.when(keep, hanja).otherwise(F.lit("")).alias("hanja"))
+
+    def judged(text: Column, hanja: Column) -> Column:
+        keep = text != ""
+        if lang in VALID:
+            keep = keep & text.rlike(VALID[lang])
+        return F.struct(F.when(keep, text).alias("word"), F.when(keep, hanja).otherwise(F.lit("")).alias("hanja"))
+
+    def cut(text: Column) -> Column:
+        for pattern, needs in CUTS:
+            if needs:
+                text = _bound(text, pattern, needs)
+            else:
+                text = F.regexp_replace(text, pattern, "")
+        return strip(text)
+
+    given = strip(blank_if_null(line))
+    if lang != "ko":
+        return let(cut(given), lambda t: judged(t, F.lit("")))
+    parts = let(given, lambda t: F.struct(*[c.alias(n) for c, n in zip(split_hanja(t), ("word", "hanja"), strict=True)]))
+    return let(parts, lambda p: let(cut(p["word"]), lambda t: judged(t, p["hanja"])))
+
+
+def _bound(text: Column, pattern: str, needs: str) -> Column:
+    """The cut where its character occurs; other texts pass without a scan."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(needs)), F.regexp_replace(t, pattern, "")).otherwise(t))
 
 
 def token(cleaned: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Unicode white space, with the four separators U+001C to U+001F.
 WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+WS_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # The code-point ranges that count as one token a character.
 TOKEN_CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3000}-\x{303F}]"
 # Ideographs of Hanja annotations, and those that a reading has a syllable for.
@@ -44,7 +46,7 @@ def blank_if_null(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:

@@ -25,7 +25,8 @@ def lines(spark, sf_dir):
 
 
 def cleaned(spark, sf_dir):
-    return lines(spark, sf_dir).withColumn("c", clean.clean_line(F.col("line"), "")).select("doc_id", "line_no", "line", F.col("c.word").alias("word"))
+    # a generator, so that a filter on the word doesn't clean each line again
+    return lines(spark, sf_dir).select("doc_id", "line_no", "line", F.inline(F.array(clean.clean_line(F.col("line"), "")))).drop("hanja")
 
 
 @query("q01_clean_lines", CLEAN_SQL + "SELECT doc_id, line_no, word FROM cleaned WHERE word <> ''")
