@@ -117,12 +117,20 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     return model
 
 
-def train(stats: DataFrame, labels: DataFrame) -> Gam:
-    """Fit on the labelled rows outside the held-out fold, SAMPLE_ROWS of them at most, by hash of the id."""
+def train(stats: DataFrame, labels: DataFrame, scratch: Scratch) -> Gam:
+    """Fit on the labelled rows outside the held-out fold, SAMPLE_ROWS of them at most, by hash of the id.
+
+    Hashes are uniform, so a level that follows from the count leaves little more than the sample to
+    collect, whatever the number of partitions.
+    """
     names = list(measures())
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & (holdout_fold(F.col("doc_id")) != 0))
     chosen = stats.join(marks, "doc_id").select(F.xxhash64("doc_id", F.lit("fit")).alias("__h"), "doc_id", "quality", *[F.col(n).cast("double").alias(n) for n in names])
-    rows = chosen.orderBy("__h", "doc_id", "quality", *names).limit(SAMPLE_ROWS).collect()
+    chosen = scratch.write(chosen, "chosen")
+    share = (SAMPLE_ROWS + 6 * SAMPLE_ROWS**0.5) / max(1, chosen.count())
+    level = 2**63 - 1 if share >= 1 else int(-(2**63) + share * (2**64 - 1))
+    rows = sorted(chosen.filter(F.col("__h") <= F.lit(level)).collect(), key=tuple)[:SAMPLE_ROWS]
+    scratch.drop("chosen")
     x = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, len(names))
     return fit(x, np.array([r["quality"] for r in rows], dtype=float))
 
@@ -131,7 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     # measures come from the written counts, so that no count is taken twice
     stats = scratch.write(text_stats(docs), "stats").withColumns(measures())
-    model, names = train(stats, labels), list(measures())
+    model, names = train(stats, labels, scratch), list(measures())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
