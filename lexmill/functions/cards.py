@@ -13,8 +13,8 @@ from lexmill.functions.strings import WS, blank_if_null, casefold, escape, is_bl
 # The markup of cards.
 RED, BLUE, GRAY, END = '<span style="color: red;">', '<span style="color: blue;">', '<span style="color: gray;">', "</span>"
 SMALL_GRAY = '<span style="color: gray; font-size: 90%;">'
-NOTES_OPEN, NOTES_CLOSE = '<div class="ankigen-notes">', "</div>"
-NOTES_BLOCK = r'(?is)<div class="ankigen-notes">.*?</div>'
+NOTES_OPEN, NOTES_CLOSE = '<div class="card-notes">', "</div>"
+NOTES_BLOCK = r'(?is)<div class="[a-z]+-notes">.*?</div>'
 BREAK = r"(?i)<br[\x09-\x0D\x20]*/?>"
 RED_TEXT = r'(?i)<span style="color: red;">([^<]*)</span>'
 ANY_SPAN = r"(?i)<span[^>]*>|</span>"

@@ -86,9 +86,9 @@ VOCAB_SQL = """vocab AS (SELECT p_partkey, p_size, p_name AS headword, CASE WHEN
   CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN 'plain ' || p_name
     WHEN 2 THEN '<span style="color: blue;">a </span><span style="color: red;">' || p_name || '</span>'
     WHEN 3 THEN '<span style="color: blue;">b</span><br><span style="color: red;">' || p_name || '</span><BR/> '
-    WHEN 4 THEN '<div class="ankigen-notes">n</div><span style="color: red;">' || p_name || '</span> x<br><span style="color: red;">' || p_name || '</span> x<br><span style="color: red;">' || p_name || '</span>  X'
+    WHEN 4 THEN '<div class="card-notes">n</div><span style="color: red;">' || p_name || '</span> x<br><span style="color: red;">' || p_name || '</span> x<br><span style="color: red;">' || p_name || '</span>  X'
     ELSE '<span style="color: blue;">' || p_type || '</span><br>c &amp; d<br>e' END AS sentence FROM part)"""
-PARSED_SQL = """parsed AS (SELECT *, CASE WHEN regexp_matches(sentence, '(?is)<div class="ankigen-notes">.*?</div>') THEN rtrim(regexp_replace(sentence, '(?is)<div class="ankigen-notes">.*?</div>', '', 'g')) ELSE sentence END AS part FROM vocab),
+PARSED_SQL = """parsed AS (SELECT *, CASE WHEN regexp_matches(sentence, '(?is)<div class="card-notes">.*?</div>') THEN rtrim(regexp_replace(sentence, '(?is)<div class="card-notes">.*?</div>', '', 'g')) ELSE sentence END AS part FROM vocab),
 pieces AS (SELECT *, list_filter(string_split_regex(part, '(?i)<br\\s*/?>'), lambda p: trim(p) <> '') AS blocks FROM parsed),
 judged AS (SELECT *, len(blocks) AS n, part <> '' AND NOT contains(part, '<span') AS plain,
   list_filter(list_transform(blocks, lambda p: trim(regexp_replace(p, '<span[^>]*>|</span>', '', 'g'))), lambda b: b <> '') AS bodies,
@@ -99,7 +99,7 @@ reasons AS (
   UNION ALL SELECT p_partkey, 2, 'too_few_sentences', n || '<3' FROM keyed WHERE n < 3
   UNION ALL SELECT p_partkey, 3, 'keyword_not_highlighted', 'no related red <span> for ' || headword FROM keyed WHERE trim(part) <> '' AND NOT plain AND NOT shown
   UNION ALL SELECT p_partkey, 4, 'plain_text_sentences', 'no <span> tags' FROM keyed WHERE plain
-  UNION ALL SELECT p_partkey, 5, 'missing_context_notes', 'no notes block' FROM keyed WHERE NOT contains(sentence, 'ankigen-notes')
+  UNION ALL SELECT p_partkey, 5, 'missing_context_notes', 'no notes block' FROM keyed WHERE NOT contains(sentence, 'card-notes')
   UNION ALL SELECT p_partkey, 6, 'duplicate_sentences', d FROM (SELECT p_partkey, array_to_string(list_filter(list_transform(keys, lambda k, i: CASE WHEN list_position(keys, k) < i THEN i::VARCHAR END), lambda x: x IS NOT NULL), ',') AS d FROM keyed) WHERE d <> '')"""
 
 
@@ -265,7 +265,7 @@ def q37_last_chunk(spark, sf_dir):
 
 @query(
     "q42_grammar_cells",
-    """SELECT conv_id, turn, CASE WHEN m <> '' AND e <> '' THEN '<b>' || m || '</b><br>' || e ELSE m || e END AS meaning, '<div class="ankigen-notes"><span style="color: gray;">' || m || '</span></div>' AS notes FROM
+    """SELECT conv_id, turn, CASE WHEN m <> '' AND e <> '' THEN '<b>' || m || '</b><br>' || e ELSE m || e END AS meaning, '<div class="card-notes"><span style="color: gray;">' || m || '</span></div>' AS notes FROM
     (SELECT conv_id, turn, regexp_replace(replace(replace(replace(left(text, 30), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '^@WS+|@WS+\\z', '', 'g') AS m, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS e FROM conversations) WHERE m <> ''""",
 )
 def q42_grammar_cells(spark, sf_dir):

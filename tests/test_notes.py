@@ -113,7 +113,7 @@ def test_korean_rules(spark):
 
 
 def test_notes_rule(spark):
-    block = '<div class="ankigen-notes"><span style="color: gray;">%s</span></div>'
+    block = '<div class="card-notes"><span style="color: gray;">%s</span></div>'
     rows = [ko("none", comment=RED % "가다"), ko("hollow", comment=RED % "가다" + block % " "), ko("full", comment=RED % "가다" + block % "n"), ko("empty")]
     at = lambda target: codes(audit.audit(spark.createDataFrame(rows, NOTE), target=target, include_missing_notes=True).collect())
     assert at(0) == {"none": [("missing_context_notes", "no notes block")], "hollow": [("missing_context_notes", "empty notes block")]}
@@ -217,7 +217,7 @@ def test_repair_uses_exactly_the_estimated_calls(spark):
     assert out["3"].touched == [] and out["3"].error == "boom" and out["3"].fields["English"] == ""
     assert out["4"].fields["Comment"].count("<br>") == 2 and out["5"].fields["Comment"].count(RED % "가다") == 3
     assert out["7"].fields["Comment"].count("<br>") == 2 and out["9"].fields["Comment"].count(RED % "가다") == 3
-    assert "ankigen-notes" in out["10"].fields["Comment"] and "ankigen-notes" in out["11"].fields["Comment"]
+    assert "card-notes" in out["10"].fields["Comment"] and "card-notes" in out["11"].fields["Comment"]
     line = backfill.repair(planned, frame, 3).filter("guid = '1'").select(backfill.update_line(F.col("model_name"), F.lit("D"), F.col("guid"), F.col("field_order"), F.col("fields")).alias("x")).first().x
     assert line == "K\tD\t1\t음식飮食\t飮食\tgo\t"
 

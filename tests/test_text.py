@@ -108,12 +108,12 @@ def test_cards(spark):
     lists = apply(spark, [["**a** b", " ", "c"], []], lambda v: cards.sentence_list(v, F.lit("x")), "array<string>")
     assert lists == ['<span style="color: red;">a</span><span style="color: blue;"> b</span><br><span style="color: blue;">c</span>', ""]
     assert apply(spark, ["1. 句子一 2. 句子二", "값은 3.5달러. 2. 둘", "一。2.二"], cards.split_numbered) == [["句子一", "句子二"], ["값은 3.5달러.", "둘"], ["一。", "二"]]
-    field = lists[0] + '<div class="ankigen-notes"><span style="color: gray;">n</span></div>'
+    field = lists[0] + '<div class="card-notes"><span style="color: gray;">n</span></div>'
     assert apply(spark, [field, "", None, "a<br/>b<br> "], cards.count_blocks) == [2, 0, 0, 2]
     assert apply(spark, [field], cards.marked_sentences) == [["**a** b", "c"]]
     assert apply(spark, [field, "plain", "", "<br>"], cards.is_plain_text) == [False, True, False, True]
     assert apply(spark, [["a", "b", "a", "a", ""]], cards.repeated_positions, "array<string>") == [[2, 3]]
-    assert apply(spark, [" n & m ", " "], cards.context_notes) == ['<div class="ankigen-notes"><span style="color: gray;">n &amp; m</span></div>', ""]
+    assert apply(spark, [" n & m ", " "], cards.context_notes) == ['<div class="card-notes"><span style="color: gray;">n &amp; m</span></div>', ""]
     ex = apply(spark, [[("하게 **되었어요**", "became"), (" ", "x"), ("게 되다", None)]], lambda v: cards.grammar_examples(v, F.lit("~게 되다")), "array<struct<target:string,english:string>>")
     assert ex == [f'<span style="color: blue;">하게 {red("되었어요")}</span><br><span style="color: gray; font-size: 90%;">became</span><br><br>'.replace('<span style="color: blue;"></span>', "") + '<span style="color: red;">게 되다</span>']
 
