@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,7 +159,3 @@ def example_key(target: Column, marked: bool = True) -> Column:
 
 def bare_text(field: Column) -> Column:
     return strip_html(blank_if_null(field))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
