@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="lexmill-")
-        atexit.register(__import__("shutil").rmtree, _OWN_DIRS[app], True)
+        atexit.register(shutil.rmtree, _OWN_DIRS[app], True)
     return f"file://{_OWN_DIRS[app]}"
 
 

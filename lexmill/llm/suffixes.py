@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -470,9 +471,11 @@ def deduplicate(docs: DataFrame, scratch: Scratch, length_col: str | None = "n_c
     def cut(text, spans):
         out = []
         for t, s in zip(text, spans, strict=True):
-            raw = None if t is None else t.encode()
-            out.append(None if raw is None else t if s is None or not len(s) else kept_bytes(raw, merged(list(s), len(raw))).decode("utf-8", "ignore"))
-        return __import__("pandas").Series(out, dtype=object)
+            if t is not None and s is not None and len(s):
+                raw = t.encode()
+                t = kept_bytes(raw, merged(list(s), len(raw))).decode("utf-8", "ignore")
+            out.append(t)
+        return pd.Series(out, dtype=object)
 
     changed = spanned.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans"))).drop("__spans")
     if length_col in docs.columns:
