@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     full = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     rows = scratch.write(rows.join(full, "key"), "rows")
     degree = rows.groupBy("id").agg(F.sum("members").alias("degree"))
-    ranked = rows.join(degree, "id").select("key", "id", (F.col("degree") * F.lit(-1)).alias("order"))
-    best = ranked.groupBy("key").agg(F.min("order").alias("order"))
-    centers = ranked.join(best, ["key", "order"]).groupBy("key").agg(F.min("id").alias("a"))
+    ranked = rows.join(degree, "id").select("key", F.struct((F.col("degree") * F.lit(-1)).alias("order"), "id").alias("rank"))
+    # a minimum combines before the shuffle, so a bucket of very many members is no hot key here
+    centers = ranked.groupBy("key").agg(F.min("rank").alias("rank")).select("key", F.col("rank.id").alias("a"))
     pairs = rows.join(centers, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     left = slim.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sign").alias("sign_a"))
     right = slim.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sign").alias("sign_b"))
