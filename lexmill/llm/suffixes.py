@@ -16,8 +16,8 @@ one in 40 bytes. Equal windows have equal anchors, so segments meet by anchor ha
 Offsets are of the UTF-8 text, and all decisions are about the input, not about what is left.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH lose nothing. A null doc_id
-comes after all others. What is found in rows that repeat a doc_id applies to all rows of that id;
-a row is no earlier occurrence of another row of its own id and start.
+comes after all others. Different texts of one doc_id, and all rows without one, are documents of
+their own, in the order of a hash of their texts; rows that repeat both doc_id and text are one.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexmill.llm.scratch import Scratch
 from lexmill.llm.shingles import mix
@@ -42,7 +44,6 @@ REACH = (LENGTH - GRAM) // 2
 CHUNK = 1 << 20
 #: Segments of one anchor that one task sorts, and bytes of a suffix array.
 WIDE, ARRAY_BYTES = 20_000, 2_000_000
-NO_ID = 2**63 - 1
 
 _U = np.uint64
 _P = _U(0xD1342543DE82EF95)
@@ -149,9 +150,8 @@ def _runs(ids: list[int], raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.nda
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, whole, doc, place): a segment by its anchor, or with null ``whole`` a range that goes for sure."""
     for batch in batches:
-        ids = [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
         cols: list[list[np.ndarray]] = [[], [], [], []]
-        for data, begins, ends, doc, offset in _runs(ids, [(t or "").encode() for t in batch.column(1).to_pylist()]):
+        for data, begins, ends, doc, offset in _runs(batch.column(0).to_pylist(), [(t or "").encode() for t in batch.column(1).to_pylist()]):
             s = segments(data, begins, ends)
             own = s["text"]
             cols[0].append(s["anchor"].astype(np.int64))
@@ -393,18 +393,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([doc] * len(pair), pa.int64()), pa.array(lo + np.arange(len(pair)))], ["a", "b", "doc", "lo"])
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` plus __doc, a long that tells documents apart and ascends in their order.
+
+    It is the doc_id if no other row has it. Else the rows are dealt by range and numbered in their
+    order; only those that repeat both doc_id and text share a number.
+    """
+    own = F.col("doc_id").cast("bigint")
+    if docs.select(own.alias("id")).groupBy("id").count().filter("id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("__doc", own)
+    keys, columns = ["__none", "__id", "__hash", "__row"], docs.columns
+    schema = StructType([*docs.schema.fields, StructField("__doc", LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, last = TaskContext.get().partitionId() << 40, None
+        for batch in batches:
+            places = []
+            for key in zip(*(batch.column(k).to_pylist() for k in keys), strict=True):
+                place, last = place + (key != last), key
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns), pa.array(places, pa.int64())], [*columns, "__doc"])
+
+    # rows without an id are told apart by where they come from, so very many equal ones are no hot key
+    row = F.when(own.isNull(), F.monotonically_increasing_id())
+    keyed = docs.select("*", own.isNull().alias("__none"), own.alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"), row.alias("__row"))
+    return scratch.write(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(number, schema), "numbered")
+
+
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, lo, hi): byte ranges of each document that earlier strings of LENGTH bytes cover; they may overlap."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """(doc, lo, hi): byte ranges of each of the numbered documents that earlier strings of LENGTH bytes cover; they may overlap."""
+    texts = docs.select(F.col("__doc").alias("doc"), "text")
     found = texts.mapInArrow(_scan, "key long, whole long, doc long, place long")
     met = found.repartition("key").sortWithinPartitions("key", "whole", "doc", "place")
     resolved = scratch.write(met.mapInArrow(_resolve, RESOLVED), "resolved")
-    named = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
 
     def asked(kind: str) -> DataFrame:
         wanted = resolved.filter(F.col("kind") == kind).groupBy("doc").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("asked"))
         wanted = scratch.write(wanted, kind)  # its size tells Spark whether the texts need a shuffle
-        return named.join(wanted, "doc").select("doc", "text", "asked")
+        return texts.join(wanted, "doc").select("doc", "text", "asked")
 
     cut = asked("some").mapInArrow(_cut, "key long, doc long, lo long, bytes binary")
     sorted_ = cut.repartition("key").sortWithinPartitions("key", "doc", "lo").mapInArrow(_sorted_arrays, RANGE)
@@ -436,10 +462,11 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def with_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` plus __spans, the list of its ranges to remove (null: none)."""
+    docs = numbered(docs, scratch)
     ranges = repeated_ranges(docs, scratch)
     per_doc = scratch.write(ranges.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans")), "spans")
-    per_doc = per_doc.withColumnRenamed("doc", "__doc")
-    return docs.join(per_doc, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)) == F.col("__doc"), "left").drop("__doc")
+    per_doc = per_doc.withColumnRenamed("doc", "__of")
+    return docs.join(per_doc, F.col("__doc") == F.col("__of"), "left").drop("__doc", "__of")
 
 
 def report(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -150,6 +150,36 @@ def test_deduplicate_keeps_columns(spark, tmp_path):
         assert r.text == want[r.doc_id][4].decode("utf-8", "ignore") and r.n_chars == len(r.text) and (r.lo, r.key) == (7, "k")
 
 
+def check_rows(spark, folder, rows):
+    """Against brute force over documents numbered in their order; rows without an id, and different texts of one id, are apart."""
+    hashes = [r.h for r in spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "k long, t string").selectExpr("k", "xxhash64(t) AS h").orderBy("k").collect()]
+    order = [(i is None, i or 0, h, k if i is None else 0) for k, ((i, _), h) in enumerate(zip(rows, hashes, strict=True))]
+    number = {key: n for n, key in enumerate(sorted(set(order)))}
+    want = brute([(number[key], t) for key, (_, t) in zip(order, rows, strict=True)])
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op9_suffixes(spark, folder).collect()]
+    assert sorted(got, key=repr) == sorted(((i, *want[number[key]][:4]) for key, (i, _) in zip(order, rows, strict=True)), key=repr)
+
+
+def test_rows_that_share_an_id_lose_only_their_own_repeats(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = text(200), text(200)
+    clean = {None: text(700), 60: text(700)}
+    rows = [(None, passage + text(50) + passage), (None, clean[None]), (60, other + text(50) + other), (60, clean[60]), *[(None, "z" * 20 + passage[::-1])] * 3]
+    folder = write_docs(spark, tmp_path, [(i, t, "en", "a") for i, t in rows])
+    check_rows(spark, folder, rows)
+    got = queries.op9_suffixes(spark, folder).collect()
+    whole = [(r.doc_id, r.kept_sha256) for r in got if not r.n_removed]
+    assert all((i, hashlib.sha256(t.encode()).hexdigest()) in whole for i, t in clean.items())
+    assert sorted(r.n_removed for r in got if r.n_bytes == 220) == [0, 220, 220]
+
+
+def test_planted_with_null_and_repeated_ids(spark, tmp_path):
+    texts = planted(12)
+    rows = [(None if k % 3 == 0 else k // 4 - 9, t) for k, t in enumerate(texts)] + [(None, texts[1])] * 4 + [(7, texts[2])] * 2
+    check_rows(spark, write_docs(spark, tmp_path, [(i, t, "en", "a") for i, t in rows]), rows)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op9_suffixes(spark, str(tmp_path)).count() == 0
