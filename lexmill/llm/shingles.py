@@ -49,7 +49,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Each text's set of shingle hashes, sorted; a text of fewer words is one shingle, no word none."""
     word, per_text = word_hashes(texts)
     folded = word.copy()
-    for k in range(1, WORDS):
+    for k in range(1, min(WORDS, len(word))):
         folded[: len(word) - k] = mix(folded[: len(word) - k] * _BASE + word[k:])
     out, at = [], 0
     for n in per_text.tolist():

@@ -121,6 +121,16 @@ def test_shingle_sets_equal_plain_sets():
         assert shingles.overlap(s, got[-1]) == len(plain_set(a) & plain_set(texts[-1]))
 
 
+def test_few_words_alone(spark, tmp_path):
+    for n in range(1, 7):
+        text = " ".join("abcdef"[:n])
+        assert [len(x) for x in shingles.shingle_sets([text])] == [len(plain_set(text))]
+        assert shingles.shingle_sets([text])[0].tolist() == shingles.shingle_sets([text, "some other words that follow it"])[0].tolist()
+    for n in (2, 3):
+        rows = [(1, " ".join("abc"[:n]), "en", "a")]
+        check(spark, write_docs(spark, tmp_path / str(n), rows), [(i, t) for i, t, *_ in rows])
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (600, 200, 200))
