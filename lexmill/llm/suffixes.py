@@ -1,23 +1,30 @@
 """Suffix-array deduplication of byte strings that repeat anywhere in a corpus.
 
 Every ``LENGTH``-byte window has a canonical anchor: the leftmost of its ``GRAM``-byte grams of least
-hash, which its content alone decides. Neighbouring windows with one anchor form a segment, about
-one in 40 bytes. Equal windows have equal anchors, so segments meet by anchor hash:
-
-1. equal segments (by a second 64-bit hash) keep only their first occurrence; a batch of texts does
-   so on its own before anything is shuffled, so a passage of very many copies is no hot key;
-2. an anchor with several different segments sends the bytes of their first occurrences to one
-   task. It builds a suffix array by two-stage sorting: only suffixes smaller than their successors
-   are sorted, the rest are induced by scans over the buckets of first bytes. Adjacent common
-   prefixes of LENGTH bytes or more then join equal windows, of which the first occurrence stays;
-3. an anchor with more than ``WIDE`` such segments compares single windows by 128-bit hashes
-   instead, which spreads over all tasks.
+hash, which its content alone decides, and so does the anchor's offset in it. Neighbouring windows
+with one anchor and an offset in the same half of the possible ones form a segment. All windows of a
+half hold one core: the anchor and the ``REACH`` bytes on one of its sides. Equal windows have equal
+cores, so segments meet by the hash of their core:
+
+1. segments that are equal as a whole (by a second 64-bit hash) collapse to their first occurrence; a
+   batch of texts does so on its own before anything is shuffled, so a passage of very many copies is
+   no hot key;
+2. a core with several different segments sends the bytes of their first occurrences to one task. It
+   builds a suffix array by two-stage sorting: of the suffixes that matter only those smaller than
+   their successors are sorted, the others are induced by scans over the buckets of first bytes.
+   Adjacent common prefixes of LENGTH bytes or more then join equal windows, and the first stays;
+3. a core whose segments exceed the bytes of one array is split: each of its segments is cut into two
+   halves of its range of offsets, and each half goes by the longer core its windows share. Windows
+   are parted and never repeated, equal ones stay together, and at a range of one offset a core is
+   the window itself, so that rows pass in order with nothing held.
 
 Offsets are of the UTF-8 text, and all decisions are about the input, not about what is left.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH lose nothing. A null doc_id
 comes after all others. Different texts of one doc_id, and all rows without one, are documents of
 their own, in the order of a hash of their texts; rows that repeat both doc_id and text are one.
+Columns besides doc_id and text stay as they are, except ``length_col``; names that begin with two
+underscores are taken.
 """
 
 from __future__ import annotations
@@ -38,12 +45,14 @@ from lexmill.llm.shingles import mix
 
 LENGTH, GRAM = 100, 24
 GRAMS = LENGTH - GRAM + 1
-#: A window holding an anchor reaches this far beyond it on one side at least.
+#: Anchor offsets up to this one form the near half, the others the far half.
 REACH = (LENGTH - GRAM) // 2
 #: Bytes hashed at once; window starts of longer texts are dealt in runs of this many.
 CHUNK = 1 << 20
-#: Segments of one anchor that one task sorts, and bytes of a suffix array.
-WIDE, ARRAY_BYTES = 20_000, 2_000_000
+#: Low bits of a gram's hash that give way to its position; enough for CHUNK and two windows.
+PLACE_BITS = 21
+#: Bytes of the segments of one suffix array.
+ARRAY_BYTES = 2_000_000
 
 _U = np.uint64
 _P = _U(0xD1342543DE82EF95)
@@ -85,13 +94,13 @@ def eights(data: np.ndarray) -> np.ndarray:
 
 def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Segments of all windows of the texts data[begins:ends], CHUNK bytes or a little more in all."""
-    none = {k: np.zeros(0, dtype=np.int64) for k in ("lo", "hi", "text")} | {k: np.zeros(0, dtype=_U) for k in ("anchor", "whole")} | {k: np.zeros(0, dtype=np.int64) for k in ("before", "after")}
+    none = {k: np.zeros(0, dtype=np.int64) for k in ("lo", "hi", "text", "offset")} | {k: np.zeros(0, dtype=_U) for k in ("core", "whole")}
     if len(data) < LENGTH:
         return none
     eight = eights(data)
     n = len(data) - GRAM + 1
     gram = mix(eight[:n] * _P + mix(eight[8 : n + 8] * _P + mix(eight[16 : n + 16])))
-    bits = _U(max(1, int(n).bit_length()))
+    bits = _U(PLACE_BITS)  # the same cut in every batch, so equal windows agree on their anchor
     low = ((gram >> bits) << bits) | np.arange(n, dtype=_U)
     width = 1
     while width * 2 <= GRAMS:
@@ -107,22 +116,19 @@ def segments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dict[str
     text = np.repeat(np.arange(len(begins)), counts)
     start = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)
     anchor = at[start]
-    fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]
+    far = anchor - start > REACH
+    fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (far[1:] != far[:-1])]
     first = np.flatnonzero(fresh)
     last = np.r_[first[1:], total] - 1
-    lo, hi, p, text = start[first], start[last], anchor[first], text[first]
+    lo, hi, p, text, far = start[first], start[last], anchor[first], text[first], far[first]
     hashes = Hashes(data)
-    end = ends[text]
-    return {
-        "lo": lo, "hi": hi, "text": text, "anchor": gram[p], "whole": hashes.of(lo, hi + LENGTH),
-        "before": (hashes.of(np.maximum(p - REACH, begins[text]), p) >> _U(55)).astype(np.int64),
-        "after": (hashes.of(p + GRAM, np.minimum(p + GRAM + REACH, end)) >> _U(55)).astype(np.int64),
-    }
+    core = hashes.of(np.where(far, p - REACH - 1, p), np.where(far, p + GRAM, p + LENGTH - REACH))
+    return {"lo": lo, "hi": hi, "text": text, "offset": p - lo, "core": mix(core + far.astype(_U)), "whole": hashes.of(lo, hi + LENGTH)}
 
 
-def _place(lo: np.ndarray, span: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Start, last window's distance and side hashes in one long that sorts by start."""
-    return (lo << 25) | (span << 18) | (before << 9) | after
+def _place(lo: np.ndarray, span: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Start, last window's distance and anchor's offset in one long that sorts by start."""
+    return (lo << 14) | (span << 7) | offset
 
 
 def _runs(ids: list[int], raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -148,16 +154,16 @@ def _runs(ids: list[int], raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, whole, doc, place): a segment by its anchor, or with null ``whole`` a range that goes for sure."""
+    """(key, whole, doc, place): a segment by its core, or with null ``whole`` a range that goes for sure."""
     for batch in batches:
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for data, begins, ends, doc, offset in _runs(batch.column(0).to_pylist(), [(t or "").encode() for t in batch.column(1).to_pylist()]):
             s = segments(data, begins, ends)
             own = s["text"]
-            cols[0].append(s["anchor"].astype(np.int64))
+            cols[0].append(s["core"].astype(np.int64))
             cols[1].append(s["whole"].astype(np.int64))
             cols[2].append(doc[own])
-            cols[3].append(_place(s["lo"] - begins[own] + offset[own], s["hi"] - s["lo"], s["before"], s["after"]))
+            cols[3].append(_place(s["lo"] - begins[own] + offset[own], s["hi"] - s["lo"], s["offset"]))
         if not cols[0]:
             continue
         key, whole, doc, place = map(np.concatenate, cols)
@@ -179,132 +185,134 @@ def later(key: np.ndarray, whole: np.ndarray, doc: np.ndarray, place: np.ndarray
     return ~((doc == doc[head]) & (place == place[head]))
 
 
-def _ranges(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lo = place >> 25
-    return doc, lo, lo + ((place >> 18) & 127) + LENGTH
+def _ranges(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lo = place >> 14
+    return doc, lo, lo + ((place >> 7) & 127) + LENGTH, place & 127
 
 
-RESOLVED = "kind string, key long, doc long, lo long, hi long"
+RESOLVED = "kind string, key long, doc long, lo long, hi long, offset long"
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges to remove, and first occurrences whose bytes are needed ("some", or "wide").
+    """Ranges to remove ("gone"), and first occurrences of the different segments of a core ("some").
 
-    Rows come sorted by all columns. Only the first occurrences of the last key wait for the next
-    batch, WIDE of them at most.
+    Rows come sorted by all columns. Two rows at most wait for the next batch: the first segment of
+    the last core, until another one shows that it is needed, and the first row of the last segment.
     """
+    names = ("key", "whole", "doc", "place")
     held = tuple(np.zeros(0, np.int64) for _ in range(4))
-    wide_key: int | None = None
-
-    def emitted(kind: str, key, doc, lo, hi) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), *(pa.array(np.asarray(c, dtype=np.int64)) for c in (key, doc, lo, hi))], ["kind", "key", "doc", "lo", "hi"])
-
-    def needed(key, whole, doc, place) -> np.ndarray:
-        """Of the first occurrences of whole keys: those that share a side hash with another of their key."""
-        need = np.zeros(len(key), dtype=bool)
-        for side in ((place >> 9) & 511, place & 511):
-            order = np.lexsort((side, key))
-            same = (key[order][1:] == key[order][:-1]) & (side[order][1:] == side[order][:-1])
-            need[order[1:][same]] = True
-            need[order[:-1][same]] = True
-        return need
-
-    def settle(key, whole, doc, place) -> Iterator[pa.RecordBatch]:
-        rest = key == wide_key if wide_key is not None else np.zeros(len(key), dtype=bool)
-        if rest.any():  # the key's other first occurrences left before
-            yield emitted("wide", key[rest], *_ranges(doc[rest], place[rest]))
-            key, whole, doc, place = key[~rest], whole[~rest], doc[~rest], place[~rest]
-        need = needed(key, whole, doc, place)
-        if need.any():
-            key, doc, place = key[need], doc[need], place[need]
-            _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-            wide = counts[inverse] > WIDE
-            for kind, chosen in (("some", ~wide), ("wide", wide)):
-                if chosen.any():
-                    yield emitted(kind, key[chosen], *_ranges(doc[chosen], place[chosen]))
+    told = np.zeros(0, dtype=bool)  # of the held rows: left before
+
+    def emitted(kind: str, key, doc, place) -> pa.RecordBatch:
+        cols = [pa.array(np.asarray(c, dtype=np.int64)) for c in (key, *_ranges(doc, place))]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), *cols], ["kind", "key", "doc", "lo", "hi", "offset"])
 
     for batch in batches:
         sure = batch.column("whole").is_null().to_numpy(zero_copy_only=False)
         if sure.any():
             own = batch.filter(pa.array(sure))
-            key = own.column("key").to_numpy()
-            yield emitted("gone", key, *_ranges(own.column("doc").to_numpy(), own.column("place").to_numpy()))
+            yield emitted("gone", *(own.column(n).to_numpy() for n in ("key", "doc", "place")))
         rest = batch.filter(pa.array(~sure))
         if not rest.num_rows:
             continue
-        cols = [np.concatenate([h, rest.column(n).to_numpy()]) for h, n in zip(held, ("key", "whole", "doc", "place"), strict=True)]
-        gone = later(*cols)
-        # an occurrence equal to its segment's first one is a repeated row of that document
-        again = np.r_[False, (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])] & ~gone
+        key, whole, doc, place = (np.concatenate([h, rest.column(n).to_numpy()]) for h, n in zip(held, names, strict=True))
+        left = np.r_[told, np.zeros(rest.num_rows, dtype=bool)]
+        gone = later(key, whole, doc, place)
         if gone.any():
-            yield emitted("gone", cols[0][gone], *_ranges(cols[2][gone], cols[3][gone]))
-        firsts = [c[~gone & ~again] for c in cols]
-        waits = firsts[0] == firsts[0][-1]
-        yield from settle(*(c[~waits] for c in firsts))
-        held = tuple(c[waits] for c in firsts)
-        if held[0][0] == wide_key or len(held[0]) > WIDE:
-            # all but the last leave; the last may still meet rows equal to it
-            wide_key = int(held[0][0])
-            yield emitted("wide", held[0][:-1], *_ranges(held[2][:-1], held[3][:-1]))
-            held = tuple(c[-1:] for c in held)
-    if len(held[0]):
-        yield from settle(*held)
-
-
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in the order of their first ``depth`` bytes, by two-stage sorting."""
+            yield emitted("gone", key[gone], doc[gone], place[gone])
+        # a row equal to its segment's first one is a repeated row of that document
+        head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])])
+        key, whole, doc, place, left = key[head], whole[head], doc[head], place[head], left[head]
+        several = np.zeros(len(key), dtype=bool)
+        same = key[1:] == key[:-1]
+        several[1:] |= same
+        several[:-1] |= same
+        need = several & ~left
+        if need.any():
+            yield emitted("some", key[need], doc[need], place[need])
+        waits = np.unique([int(np.searchsorted(key == key[-1], True)), len(key) - 1])
+        held = tuple(c[waits] for c in (key, whole, doc, place))
+        told = left[waits] | several[waits]
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes at ``wanted`` positions (all, if None) in the order of their first ``depth`` bytes.
+
+    Larger suffixes need the ranks of the ones after them up to the next smaller one; those take part
+    and are left out of the result.
+    """
     n = len(text)
     eight = eights(text)
     step = np.sign(np.diff(text.astype(np.int16)))
     step = np.r_[step, -1]  # the last suffix is larger than the empty one after it
     known = np.flatnonzero(step)
     smaller = step[known[np.searchsorted(known, np.arange(n))]] > 0
+    part = np.ones(n, dtype=bool)
+    if wanted is not None:
+        stops = np.r_[np.flatnonzero(smaller), n - 1]
+        reach = np.zeros(n + 1, dtype=np.int64)
+        at = np.flatnonzero(wanted)
+        reach[at] += 1
+        np.subtract.at(reach, stops[np.searchsorted(stops, at)] + 1, 1)
+        part = np.cumsum(reach[:n]) > 0
     # stage one: sort the suffixes that are smaller than their successors
-    own = np.flatnonzero(smaller)
+    own = np.flatnonzero(smaller & part)
     order = own[np.argsort(eight[own], kind="stable")]
     group = np.cumsum(np.r_[0, eight[order][1:] != eight[order][:-1]]) if len(order) else order
+    slots = np.arange(len(order))
     for shift in range(8, depth, 8):
-        tied = np.zeros(len(order), dtype=bool)
-        if len(order) > 1:
-            same = group[1:] == group[:-1]
-            tied[1:] |= same
-            tied[:-1] |= same
-        slots = np.flatnonzero(tied)
+        # what is tied now was tied before
+        same = group[slots][1:] == group[slots][:-1]
+        tied = np.zeros(len(slots), dtype=bool)
+        tied[1:] |= same
+        tied[:-1] |= same
+        slots = slots[tied]
         if not len(slots):
             break
         at = order[slots] + shift
-        part = np.where(at < n, eight[np.minimum(at, n - 1)], 0)
-        inner = np.lexsort((part, group[slots]))
+        word = np.where(at < n, eight[np.minimum(at, n - 1)], 0)
+        inner = np.lexsort((word, group[slots]))
         order[slots] = order[slots][inner]
-        part, g = part[inner], group[slots]
-        split = np.zeros(len(order), dtype=np.int64)
-        split[slots[1:]] = (part[1:] != part[:-1]) & (g[1:] == g[:-1])
-        group = group + np.cumsum(split)
-    # stage two: buckets of first bytes in ascending order; the larger suffixes go to a bucket's
-    # front, in the order of their successors, which all have a place by then
-    rank = np.empty(n + 1, dtype=np.int64)
-    rank[n] = -1
-    run_end = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
-    run = run_end[np.searchsorted(run_end, np.arange(n))] - np.arange(n)
-    larger = np.flatnonzero(~smaller)
-    by_byte = larger[np.lexsort((run[larger], text[larger]))]
-    first_large = np.searchsorted(text[by_byte], np.arange(257))
+        word, g = word[inner], group[slots]
+        # group numbers are slots of first members, so splitting one leaves the others alone
+        starts = np.r_[True, (word[1:] != word[:-1]) | (g[1:] != g[:-1])]
+        group[slots] = slots[np.flatnonzero(starts)][np.cumsum(starts) - 1] + len(order) * (1 + shift)
+    # stage two: scan the buckets of first bytes in ascending order. A suffix whose predecessor is larger
+    # puts it at the end of the larger part of its bucket, which comes before the smaller part
+    before = text[np.maximum(np.arange(n) - 1, 0)]
+    induces = np.r_[False, ~smaller[:-1] & part[:-1]]
+    waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    if n and part[-1]:  # induced by the empty suffix
+        waiting[int(text[-1])].append(np.array([n - 1]))
+
+    def scan(placed: np.ndarray, byte: int) -> np.ndarray:
+        """Deal the larger predecessors of placed suffixes to their buckets; return those of this one."""
+        found = placed[induces[placed]]
+        to = before[found]
+        split = np.argsort(to, kind="stable")
+        found, to = found[split] - 1, to[split]
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        mine = np.zeros(0, dtype=np.int64)
+        for chunk in np.split(found, cuts) if len(found) else []:
+            if text[chunk[0]] == byte:
+                mine = chunk
+            else:
+                waiting[int(text[chunk[0]])].append(chunk)
+        return mine
+
     first_small = np.searchsorted(text[order], np.arange(257))
-    place = 0
+    out: list[np.ndarray] = []
     for byte in np.unique(text).tolist():
-        mine = by_byte[first_large[byte] : first_large[byte + 1]]
-        lengths = run[mine]
-        # a longer run of the byte before a smaller one makes a larger suffix
-        for cut in np.split(mine, np.flatnonzero(np.diff(lengths)) + 1) if len(mine) else []:
-            cut = cut[np.argsort(rank[cut + 1], kind="stable")]
-            rank[cut] = place + np.arange(len(cut))
-            place += len(cut)
+        wave = np.concatenate(waiting[byte]) if waiting[byte] else np.zeros(0, dtype=np.int64)
+        while len(wave):
+            out.append(wave)
+            wave = scan(wave, byte)
         small = order[first_small[byte] : first_small[byte + 1]]
-        rank[small] = place + np.arange(len(small))
-        place += len(small)
-    out = np.empty(n, dtype=np.int64)
-    out[rank[:n]] = np.arange(n)
-    return out
+        if len(small):
+            out.append(small)
+            scan(small, byte)
+    found = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    return found if wanted is None else found[wanted[found]]
 
 
 def common_prefixes(text: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
@@ -331,10 +339,11 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray) -> tu
     # no UTF-8 text holds 0xFF; a common prefix with one can't make a valid window equal to another
     text = np.frombuffer(b"\xff".join(pieces) + b"\xff", dtype=np.uint8)
     begins = np.cumsum(lengths + 1) - lengths - 1
-    order = suffix_array(text, LENGTH)
+    valid = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(valid, begins, 1)
+    np.subtract.at(valid, begins + np.maximum(lengths - LENGTH + 1, 0), 1)
+    order = suffix_array(text, LENGTH, np.cumsum(valid[:-1]) > 0)
     piece = np.searchsorted(begins, order, side="right") - 1
-    valid = order - begins[piece] <= lengths[piece] - LENGTH
-    order, piece = order[valid], piece[valid]
     equal = common_prefixes(text, order, LENGTH) >= LENGTH
     group = np.cumsum(~equal)
     start = lo[piece] + order - begins[piece]
@@ -351,46 +360,98 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, lo: np.ndarray) -> tu
     return doc[piece], lo[piece] + heads - begins[piece], lo[piece] + tails - begins[piece] + LENGTH
 
 
-RANGE = "doc long, lo long, hi long"
+SORTED = "kind string, key long, doc long, lo long, hi long, offset int, first int, last int, bytes binary"
 
 
-def _range_batch(doc, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in (doc, lo, hi)], ["doc", "lo", "hi"])
+def split_segment(row: dict) -> Iterator[tuple]:
+    """The two halves of a segment's range of offsets, each keyed by the core that its windows share."""
+    data, anchor, windows = row["bytes"], row["offset"], len(row["bytes"]) - LENGTH + 1
+    middle = (row["first"] + row["last"]) // 2
+    for first, last in ((row["first"], middle), (middle + 1, row["last"])):
+        low, high = max(anchor - last, 0), min(anchor - first, windows - 1)
+        if low <= high:
+            core = data[anchor - first : anchor - last + LENGTH]
+            key = int.from_bytes(hashlib.blake2b(core, digest_size=8, person=bytes([first, last])).digest(), "little", signed=True)
+            yield key, row["doc"], row["lo"] + low, anchor - low, first, last, data[low : high + LENGTH]
 
 
 def _sorted_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges to remove among segments that come sorted by key, in arrays of whole keys."""
-    held: list[tuple] = []
-    size = 0
+    """Ranges to remove among segments that come sorted by key, in arrays of whole keys.
+
+    Segments of a key that outgrows an array leave as kind "split", by longer cores; a range of one
+    offset needs no array, as all its rows are one window.
+    """
+    held: list[dict] = []
+    sizes = [0, 0]  # bytes held, and those of the last key
+    now, splits, single = None, False, False
+
+    def ranges(doc, lo, hi) -> pa.RecordBatch:
+        n = len(doc)
+        none = lambda t: pa.nulls(n, t)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(["gone"] * n, pa.string()), none(pa.int64()), *(pa.array(np.asarray(c, dtype=np.int64)) for c in (doc, lo, hi)), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.binary())],
+            ["kind", "key", "doc", "lo", "hi", "offset", "first", "last", "bytes"],
+        )
+
+    def halves(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        parts = [p for r in rows for p in split_segment(r)]
+        if parts:
+            key, doc, lo, offset, first, last, data = zip(*parts, strict=True)
+            n, int_, long_ = len(parts), pa.int32(), pa.int64()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["split"] * n), pa.array(key, long_), pa.array(doc, long_), pa.array(lo, long_), pa.nulls(n, long_), pa.array(offset, int_), pa.array(first, int_), pa.array(last, int_), pa.array(data, pa.binary())],
+                ["kind", "key", "doc", "lo", "hi", "offset", "first", "last", "bytes"],
+            )
+
+    def settled(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield ranges(*repeated_windows([r["bytes"] for r in rows], np.array([r["doc"] for r in rows]), np.array([r["lo"] for r in rows])))
+
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("key", "doc", "lo", "bytes")), strict=True):
-            if size > ARRAY_BYTES and row[0] != held[-1][0]:
-                yield _range_batch(*repeated_windows([r[3] for r in held], np.array([r[1] for r in held]), np.array([r[2] for r in held])))
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held:
-        yield _range_batch(*repeated_windows([r[3] for r in held], np.array([r[1] for r in held]), np.array([r[2] for r in held])))
+        same: list[tuple[int, int]] = []
+        more: list[dict] = []
+        for row in batch.to_pylist():
+            if row["key"] != now:
+                yield from halves(more)
+                more = []
+                if sizes[0] > ARRAY_BYTES:
+                    yield from settled(held)
+                    held, sizes[0] = [], 0
+                now, splits, single, sizes[1] = row["key"], False, row["first"] == row["last"], 0
+                if single:
+                    continue  # the first occurrence stays
+            if single:
+                same.append((row["doc"], row["lo"]))
+            elif splits:
+                more.append(row)
+            else:
+                held.append(row)
+                sizes[0] += len(row["bytes"])
+                sizes[1] += len(row["bytes"])
+                if sizes[1] > ARRAY_BYTES:
+                    splits = True
+                    more = [r for r in held if r["key"] == now]
+                    held = [r for r in held if r["key"] != now]
+                    sizes[0] -= sizes[1]
+        yield from halves(more)
+        if same:
+            doc, lo = (np.array(c) for c in zip(*same, strict=True))
+            yield ranges(doc, lo, lo + LENGTH)
+    yield from settled(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each asked range (doc, text, asked) as rows of (key, doc, lo, bytes)."""
+    """The bytes of each asked range (doc, text, asked) as rows of CUT."""
     for batch in batches:
         for doc, text, asked in zip(*(batch.column(n).to_pylist() for n in ("doc", "text", "asked")), strict=True):
             raw = (text or "").encode()
-            rows = [(a["key"], doc, a["lo"], raw[a["lo"] : a["hi"]]) for a in asked if a["hi"] <= len(raw)]
+            rows = [(a["key"], doc, a["lo"], a["offset"], *((REACH + 1, GRAMS - 1) if a["offset"] > REACH else (0, REACH)), raw[a["lo"] : a["hi"]]) for a in asked if a["hi"] <= len(raw)]
             if rows:
-                key, docs, lo, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(docs, pa.int64()), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], ["key", "doc", "lo", "bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc", "lo", "offset", "first", "last", "bytes"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of segments as rows (a, b, doc, lo) with a 128-bit hash in two longs."""
-    for batch in _cut(batches):
-        for doc, lo, data in zip(*(batch.column(n).to_pylist() for n in ("doc", "lo", "bytes")), strict=True):
-            names = [hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in range(len(data) - LENGTH + 1)]
-            pair = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([doc] * len(pair), pa.int64()), pa.array(lo + np.arange(len(pair)))], ["a", "b", "doc", "lo"])
+CUT = "key long, doc long, lo long, offset int, first int, last int, bytes binary"
 
 
 def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -426,19 +487,22 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = texts.mapInArrow(_scan, "key long, whole long, doc long, place long")
     met = found.repartition("key").sortWithinPartitions("key", "whole", "doc", "place")
     resolved = scratch.write(met.mapInArrow(_resolve, RESOLVED), "resolved")
-
-    def asked(kind: str) -> DataFrame:
-        wanted = resolved.filter(F.col("kind") == kind).groupBy("doc").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("asked"))
-        wanted = scratch.write(wanted, kind)  # its size tells Spark whether the texts need a shuffle
-        return texts.join(wanted, "doc").select("doc", "text", "asked")
-
-    cut = asked("some").mapInArrow(_cut, "key long, doc long, lo long, bytes binary")
-    sorted_ = cut.repartition("key").sortWithinPartitions("key", "doc", "lo").mapInArrow(_sorted_arrays, RANGE)
-    sorted_ = scratch.write(sorted_, "sorted")
-    every = scratch.write(asked("wide").mapInArrow(_windows, "a long, b long, doc long, lo long"), "windows")
-    first = every.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("f"))
-    wide = every.join(first, ["a", "b"]).filter((F.col("doc") != F.col("f.doc")) | (F.col("lo") != F.col("f.lo"))).select("doc", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return resolved.filter("kind = 'gone'").select("doc", "lo", "hi").unionByName(sorted_).unionByName(wide)
+    gone = [resolved.filter("kind = 'gone'").select("doc", "lo", "hi")]
+    wanted = resolved.filter("kind = 'some'").groupBy("doc").agg(F.collect_set(F.struct("key", "lo", "hi", "offset")).alias("asked"))
+    wanted = scratch.write(wanted, "asked")  # its size tells Spark whether the texts need a shuffle
+    open_ = texts.join(wanted, "doc").select("doc", "text", "asked").mapInArrow(_cut, CUT)
+    # each round halves a range of offsets, so log2(GRAMS) rounds end at single windows
+    for k in range(GRAMS.bit_length() + 1):
+        met = open_.repartition("key").sortWithinPartitions("key", "doc", "lo").mapInArrow(_sorted_arrays, SORTED)
+        met = scratch.write(met, f"sorted{k}")
+        gone.append(met.filter("kind = 'gone'").select("doc", "lo", "hi"))
+        open_ = met.filter("kind = 'split'").select("key", "doc", "lo", "offset", "first", "last", "bytes")
+        if open_.isEmpty():
+            break
+    every = gone[0]
+    for more in gone[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def merged(spans: list | None, size: int) -> list[tuple[int, int]]:

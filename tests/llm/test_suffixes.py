@@ -79,36 +79,46 @@ def direct(rows):
     resolved = pa.Table.from_batches(list(suffixes._resolve(iter(table.to_batches(max_chunksize=37))))).to_pylist()
     text = {r[0]: (r[1] or "").encode() for r in rows}
     spans = {i: [] for i in text}
-    some, windows = [], []
+    open_, rounds = [], 0
     for r in resolved:
-        data = text[r["doc"]][r["lo"] : r["hi"]]
         if r["kind"] == "gone":
             spans[r["doc"]].append(r)
-        elif r["kind"] == "some":
-            some.append((r["key"], r["doc"], r["lo"], data))
         else:
-            windows += [(data[k : k + L], r["doc"], r["lo"] + k) for k in range(len(data) - L + 1)]
-    first = {}
-    for w, doc, lo in sorted(windows):
-        if first.setdefault(w, (doc, lo)) != (doc, lo):
-            spans[doc].append({"lo": lo, "hi": lo + L})
-    if some:
-        table = pa.Table.from_pylist([dict(zip(("key", "doc", "lo", "bytes"), s, strict=True)) for s in sorted(some)])
+            asked = pa.table({"doc": [r["doc"]], "text": [text[r["doc"]].decode()], "asked": [[{k: r[k] for k in ("key", "lo", "hi", "offset")}]]})
+            open_ += [x for b in suffixes._cut(iter(asked.to_batches())) for x in b.to_pylist()]
+    while open_:
+        table = pa.Table.from_pylist(sorted(open_, key=lambda r: (r["key"], r["doc"], r["lo"])))
+        open_, rounds = [], rounds + 1
         for b in suffixes._sorted_arrays(iter(table.to_batches(max_chunksize=11))):
             for r in b.to_pylist():
-                spans[r["doc"]].append(r)
-    return {i: suffixes.kept_bytes(raw, suffixes.merged(spans[i], len(raw))) for i, raw in text.items()}, {r["kind"] for r in resolved}
+                if r["kind"] == "gone":
+                    spans[r["doc"]].append(r)
+                else:
+                    open_.append(r)
+    return {i: suffixes.kept_bytes(raw, suffixes.merged(spans[i], len(raw))) for i, raw in text.items()}, rounds
 
 
-@pytest.mark.parametrize(("seed", "wide", "chunk"), [(5, 20_000, 1 << 20), (6, 2, 1 << 20), (7, 20_000, 500), (8, 4, 333), (9, 20_000, 4000)])
-def test_steps_equal_brute_force(monkeypatch, seed, wide, chunk):
-    monkeypatch.setattr(suffixes, "WIDE", wide)
+@pytest.mark.parametrize(("seed", "array", "chunk", "splits"), [(5, 2_000_000, 1 << 20, False), (6, 700, 1 << 20, True), (7, 2_000_000, 500, False), (8, 1200, 333, True), (9, 5000, 4000, False), (10, 0, 1 << 20, True)])
+def test_steps_equal_brute_force(monkeypatch, seed, array, chunk, splits):
+    monkeypatch.setattr(suffixes, "ARRAY_BYTES", array)
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
     rows = [(i * 7, t) for i, t in enumerate(planted(seed))]
-    got, kinds = direct(rows)
+    got, rounds = direct(rows)
     want = brute(rows)
     assert {i: want[i][4] for i in got} == got
-    assert "some" in kinds and ("wide" in kinds) == (wide < 100)
+    assert (rounds > 1) == splits
+
+
+def test_one_line_in_very_many_texts(monkeypatch):
+    """A core that all texts share, with other bytes around it, is split until single windows are left."""
+    monkeypatch.setattr(suffixes, "ARRAY_BYTES", 20_000)
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = text(96)
+    rows = [(i, text(60) + line + text(60)) for i in range(600)] + [(1000 + i, text(30) + "xy" + line + "zz" + text(30)) for i in range(5)]
+    got, rounds = direct(rows)
+    want = brute(rows)
+    assert rounds > 2 and {i: want[i][4] for i in got} == got and sum(want[1000 + i][1] for i in range(5)) >= 400
 
 
 @pytest.mark.parametrize("depth", [8, 24, 100])
@@ -118,6 +128,11 @@ def test_suffix_array(depth):
         text = bytes(rng.choice(b"ab!z\xff"[: rng.randrange(1, 6)]) for _ in range(rng.randrange(1, 400)))
         data = np.frombuffer(text, dtype=np.uint8)
         order = suffixes.suffix_array(data, depth)
+        some = np.array([rng.random() < 0.3 for _ in text])
+        few = suffixes.suffix_array(data, depth, some)
+        assert sorted(few.tolist()) == np.flatnonzero(some).tolist()
+        few_keys = [text[i : i + depth].ljust(depth, b"\0") for i in few]
+        assert few_keys == sorted(few_keys)
         keys = [text[i : i + depth].ljust(depth, b"\0") for i in order]
         assert sorted(order.tolist()) == list(range(len(text))) and keys == sorted(keys)
         got = suffixes.common_prefixes(np.r_[data, np.zeros(1, np.uint8)], order, depth)
