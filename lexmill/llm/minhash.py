@@ -1,74 +1,118 @@
 """Near-duplicate detection with min-max hashing.
 
 Each of ``HASHES`` linear permutations of a text's shingle hashes yields two signature values, its
-minimum and its maximum, so a signature of 2 * HASHES values costs HASHES evaluations. ``BANDS``
-keys of ``ROWS`` values each put texts into buckets; a pair at the threshold shares none with
-probability (1 - 0.85 ** 5) ** 25 < 5e-7. All links are then confirmed on the full sets.
+minimum and its maximum, so a signature of 2 * HASHES values costs HASHES evaluations. As many keys of
+``ROWS`` values each put texts into buckets as a pair at the threshold needs to share one: it shares
+none with probability under ``MISS``. Pairs that meet are compared by their signatures first; a pair
+at the threshold agrees in too few values with probability under ``MISS`` as well. All links are
+confirmed on the full sets.
 
 No bucket's pairs are emitted. Equal sets count as one text first. Then
 
 1. each bucket compares its members with one of them, the one that meets most others over all its
    buckets, so groups of copies of one text become one component at linear cost;
-2. buckets that still hold several components compare their members' signatures in blocks, inside
-   a task, and name those that may have a link across components; these members' full sets are
-   compared, again inside a task, skipping pairs known to be connected, and a spanning set of the
-   links comes out. Large buckets spread over tasks as pairs of blocks.
+2. buckets that still hold several components compare the members outside their largest component
+   with all members, by signatures, in blocks. What may have a link is compared on full sets, again
+   in blocks of bounded size and skipping pairs known to be connected; blocks that hold one and the
+   same component never meet. A bucket of one large component and a few strays costs linear time.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing. Rows
 without doc_id take no part: their component is null and they are kept. Rows that repeat a doc_id
-stay separate rows of that id and share its component.
+stay separate rows of that id and share its component. Columns besides doc_id and text are not read;
+names that begin with two underscores are taken.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.components import components
 from lexmill.llm.scratch import Scratch
 from lexmill.llm.shingles import mix, overlap, set_name, shingle_sets, slices
 
-HASHES, BANDS, ROWS = 64, 25, 5
-#: Linked: 100 * intersection >= PERCENT * union.
+ROWS = 5
+#: Bound of the probability that a pair at the threshold shares no bucket, and that its signatures agree too little.
+MISS = 5e-7
+#: Linked: 100 * intersection >= PERCENT * union, if the caller names no other threshold.
 PERCENT = 85
-#: Signature values, of 2 * HASHES, that must agree before full sets are compared: six standard
-#: deviations under what a pair at the threshold expects.
-LEAST_AGREE = 2 * HASHES * PERCENT // 100 - 24
-#: Members that one center's task, one block of signatures and one block of texts hold.
-CENTER_CHUNK, SIGN_BLOCK, TEXT_BLOCK = 64, 8192, 1024
+#: Parts that the members of one center are dealt to; each reads the center's text first.
+CENTER_PARTS = 4096
+#: Members in a block of signatures (outside the largest component, and of it), and shingles in a block of texts.
+STRAY_BLOCK, SIGN_BLOCK, TEXT_BLOCK = 1024, 8192, 400_000
+#: A set with more than one in so many of all rows is joined apart from the others; there are fewer of them than this.
+HOT_SHARE = 1000
 
 _U = np.uint64
-_A = mix(np.arange(1, HASHES + 1, dtype=_U)) | _U(1)
-_B = mix(np.arange(1001, HASHES + 1001, dtype=_U))
 
 SIGNED = "doc_id long, n_shingles long, name binary, keys array<long>, sign binary"
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+@dataclass(frozen=True)
+class Plan:
+    """Signature sizes that follow from a threshold."""
+
+    percent: int = PERCENT
+
+    @cached_property
+    def bands(self) -> int:
+        return math.ceil(math.log(MISS) / math.log1p(-((self.percent / 100) ** ROWS)))
+
+    @cached_property
+    def hashes(self) -> int:
+        return -(-self.bands * ROWS // 2)
+
+    @cached_property
+    def least_agree(self) -> int:
+        """Values that must agree: fewer do at the threshold with probability under MISS.
+
+        Minimum and maximum of a permutation are no less reliable together than two draws of their own, so
+        the binomial bounds them.
+        """
+        n, p, below = 2 * self.hashes, self.percent / 100, 0.0
+        for k in range(n):
+            below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if below >= MISS:
+                return k
+        return n
+
+    def sizes_fit(self, a: Column, b: Column) -> Column:
+        """Sets whose sizes alone rule out a link don't pass."""
+        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+
+    def linked(self, n_a: int, n_b: int, common: int) -> bool:
+        return 100 * common >= self.percent * (n_a + n_b - common)
+
+
+def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     """Minimum and maximum of each permutation, side by side, for each non-empty set."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), 2 * HASHES), dtype=_U)
-    for k in range(HASHES):
-        value = flat * _A[k] + _B[k]
+    a, b = mix(np.arange(1, hashes + 1, dtype=_U)) | _U(1), mix(np.arange(1001, hashes + 1001, dtype=_U))
+    out = np.empty((len(sets), 2 * hashes), dtype=_U)
+    for k in range(hashes):
+        value = flat * a[k] + b[k]
         out[:, 2 * k] = np.minimum.reduceat(value, starts)
         out[:, 2 * k + 1] = np.maximum.reduceat(value, starts)
     return out
 
 
-def band_keys(sign: np.ndarray) -> np.ndarray:
-    used = sign[:, : BANDS * ROWS].reshape(len(sign), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), used.shape[:2])
+def band_keys(sign: np.ndarray, bands: int) -> np.ndarray:
+    used = sign[:, : bands * ROWS].reshape(len(sign), bands, ROWS)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=_U), used.shape[:2])
     for r in range(ROWS):
         key = mix(key * _U(0x9E3779B97F4A7C15) + used[:, :, r])
     return key.astype(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for first, texts in slices(batch.column(1).to_pylist()):
@@ -77,9 +121,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys: list = [[]] * len(sets)
             signs: list = [None] * len(sets)
             if full:
-                sign = signatures([sets[i] for i in full])
+                sign = signatures([sets[i] for i in full], plan.hashes)
                 small = (mix(sign) >> _U(56)).astype(np.uint8)
-                for i, k, s in zip(full, band_keys(sign), small, strict=True):
+                for i, k, s in zip(full, band_keys(sign, plan.bands), small, strict=True):
                     keys[i], signs[i] = k, s.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -91,26 +135,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def linked(n_a: int, n_b: int, common: int) -> bool:
-    return 100 * common >= PERCENT * (n_a + n_b - common)
-
-
-def sizes_fit(a: Column, b: Column) -> Column:
-    """Sets whose sizes alone rule out a link don't pass."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose signatures agree often enough."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, 2 * HASHES) for n in ("sign_a", "sign_b"))
-            keep = pa.array((x == y).sum(1) >= LEAST_AGREE)
+            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, 2 * plan.hashes) for n in ("sign_a", "sign_b"))
+            keep = pa.array((x == y).sum(1) >= plan.least_agree)
             yield batch.select(["a", "b"]).filter(keep)
 
 
-def _against_center(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links (a, b) from sorted rows (a, chunk, member, text); the center's own row comes first."""
+def _against_center(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Confirmed links (a, b) from sorted rows (a, part, member, text); the center's own row comes first."""
     center, own, in_head = None, [], False
     for batch in batches:
         heads, members = batch.column("a").to_pylist(), batch.column("member").to_pylist()
@@ -122,7 +157,7 @@ def _against_center(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     in_head = True
                 else:
                     in_head = False
-                    if any(linked(len(o), len(s), overlap(o, s)) for o in own):
+                    if any(plan.linked(len(o), len(s), overlap(o, s)) for o in own):
                         found.append((center, members[i]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
@@ -145,39 +180,70 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield held
 
 
-def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a bucket (or pair of its blocks) that may have a link across components."""
-    for g in _groups(batches, ("key", "left", "right")):
-        sign = np.frombuffer(b"".join(g["sign"]), np.uint8).reshape(-1, 2 * HASHES)
-        n, comp, ids = np.array(g["n_shingles"]), np.array(g["component"]), np.array(g["id"])
+def text_blocks(sizes: np.ndarray) -> np.ndarray:
+    """Block of each of a row of texts: TEXT_BLOCK shingles a block, or one longer text."""
+    out, block, held = np.zeros(len(sizes), dtype=np.int64), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > TEXT_BLOCK:
+            block, held = block + 1, 0
+        out[i] = block
+        held += n
+    return out
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Members of a pair of a bucket's blocks that may have a link across components, as rows of a pair of text blocks."""
+    for g in _groups(batches, ("key", "low", "high")):
+        sign = np.frombuffer(b"".join(g["sign"]), np.uint8).reshape(-1, 2 * plan.hashes)
+        n, comp, ids, own = np.array(g["n_shingles"]), np.array(g["component"]), np.array(g["id"]), np.array(g["own"])
+        order = np.argsort(own, kind="stable")
+        sign, n, comp, ids, own = sign[order], n[order], comp[order], ids[order], own[order]
         hit = np.zeros(len(ids), dtype=bool)
-        for i in range(len(ids) - 1):
-            fit = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i]))
-            at = np.flatnonzero(fit) + i + 1
+        first = int((own == own[0]).sum())
+        for i in range(first):
+            rest = slice(i + 1 if g["low"][0] == g["high"][0] else first, len(ids))
+            fit = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= plan.percent * np.maximum(n[rest], n[i]))
+            at = np.flatnonzero(fit) + rest.start
             if len(at):
-                at = at[(sign[at] == sign[i]).sum(1) >= LEAST_AGREE]
+                at = at[(sign[at] == sign[i]).sum(1) >= plan.least_agree]
                 if len(at):
                     hit[i] = True
                     hit[at] = True
-        if hit.any():
-            chosen, own = ids[hit], comp[hit]
-            name = set_name(np.sort(chosen).astype(_U))
-            rows = []
-            blocks = -(-len(chosen) // TEXT_BLOCK)
-            for i, (member, c) in enumerate(zip(chosen.tolist(), own.tolist(), strict=True)):
-                mine = i // TEXT_BLOCK
-                rows += [(name, min(mine, o), max(mine, o), member, c) for o in range(blocks)]
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["grp", "x", "y", "id", "component"])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning set of the links between components, from full texts of one group at a time."""
-    for g in _groups(batches, ("grp", "x", "y")):
-        sets = [s for _, texts in slices(g["text"]) for s in shingle_sets(texts)]
-        root = {c: c for c in g["component"]}
-
-        def top(c, root=root):
+        if not hit.any():
+            continue
+        ids, comp, n = ids[hit], comp[hit], n[hit]
+        # the most frequent component comes last; blocks wholly of one component need not meet
+        kinds, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((ids, comp, counts[inverse]))
+        ids, comp, n = ids[order], comp[order], n[order]
+        block = text_blocks(n)
+        spans = [(comp[block == k].min(), comp[block == k].max()) for k in range(int(block[-1]) + 1)]
+        name = set_name(np.sort(ids).astype(_U))
+        rows: list[tuple] = []
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["grp", "x", "y", "id", "component"])  # noqa: B023, E731
+        for x in range(len(spans)):
+            for y in range(x, len(spans)):
+                low, high = min(spans[x][0], spans[y][0]), max(spans[x][1], spans[y][1])
+                if low == high or (x == y and len(spans) > 1):  # with others, a block's own pairs are compared there
+                    continue
+                inside = np.flatnonzero((block == x) | (block == y))
+                rows += [(name, x, y, i, c) for i, c in zip(ids[inside].tolist(), comp[inside].tolist(), strict=True)]
+                if len(rows) > 50_000:
+                    yield made()
+                    rows.clear()
+        if rows:
+            yield made()
+
+
+def _across(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """A spanning set of the links between components, from the sets of one pair of text blocks at a time."""
+    now, ids, comps, sets = None, [], [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        root = {c: c for c in comps}
+
+        def top(c):
             while root[c] != c:
                 root[c] = root[root[c]]
                 c = root[c]
@@ -187,24 +253,56 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
         for p, i in enumerate(order):
             for j in order[p + 1 :]:
-                if 100 * len(sets[i]) < PERCENT * len(sets[j]):
+                if 100 * len(sets[i]) < plan.percent * len(sets[j]):
                     break
-                a, b = top(g["component"][i]), top(g["component"][j])
-                if a != b and linked(len(sets[i]), len(sets[j]), overlap(sets[i], sets[j])):
+                a, b = top(comps[i]), top(comps[j])
+                if a != b and plan.linked(len(sets[i]), len(sets[j]), overlap(sets[i], sets[j])):
                     root[max(a, b)] = min(a, b)
-                    found.append((g["id"][i], g["id"][j]))
+                    found.append((ids[i], ids[j]))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
+    for batch in batches:
+        cols = [batch.column(n).to_pylist() for n in ("grp", "x", "y", "id", "component")]
+        for first, texts in slices(batch.column("text").to_pylist()):
+            for i, own in enumerate(shingle_sets(texts), first):
+                key = (cols[0][i], cols[1][i], cols[2][i])
+                if key != now:
+                    yield from links()
+                    now, ids, comps, sets = key, [], [], []
+                ids.append(cols[3][i])
+                comps.append(cols[4][i])
+                sets.append(own)
+    yield from links()
+
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _with_class(rows: DataFrame, of_set: DataFrame, total: int) -> DataFrame:
+    """``rows`` with a name, joined with the one row of ``of_set`` that each name has.
+
+    Names with a large share of all rows, HOT_SHARE at most, are broadcast, so no task gathers one of them.
+    """
+    limit = max(1, total // HOT_SHARE)
+    hot = F.col("n_rows") > limit
+    slim = [c for c in of_set.columns if c != "n_rows"]
+    often = F.broadcast(of_set.filter(hot).select(*[F.col(c).alias("__name" if c == "name" else c) for c in slim]))
+    seldom = of_set.filter(~hot).select(*[F.col(c).alias("__name" if c == "name" else f"__{c}") for c in slim])
+    more = [c for c in slim if c != "name"]
+    found = rows.join(often, F.col("name") == F.col("__name"), "left").withColumn("__hot", F.col("__name").isNotNull()).drop("__name")
+    left, right = found.filter("__hot").drop("__hot"), found.filter("NOT __hot").drop("__hot", *more)
+    right = right.join(seldom, F.col("name") == F.col("__name")).drop("__name")
+    return left.unionByName(right.withColumnsRenamed({f"__{c}": c for c in more}))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    plan = Plan(percent)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = scratch.write(texts.mapInArrow(_sign, SIGNED), "signed")
-    real = signed.filter("doc_id IS NOT NULL")
-    classes = scratch.write(real.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("id")), "classes")
+    signed = scratch.write(texts.mapInArrow(lambda batches: _sign(batches, plan), SIGNED), "signed")
+    real = signed.filter("doc_id IS NOT NULL AND name IS NOT NULL")
+    total = real.count()
+    classes = scratch.write(real.groupBy("name").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_rows")), "classes")
     # one row for each different set; ids decide, so a set with very many copies is no hot key
-    reps = real.select(F.col("doc_id").alias("id"), "n_shingles", "name", "keys", "sign").join(classes, ["id", "name"], "left_semi")
+    reps = real.select(F.col("doc_id").alias("id"), "n_shingles", "name", "keys", "sign").join(classes.select("id", "name"), ["id", "name"], "left_semi")
     reps = scratch.write(reps.dropDuplicates(["id", "name"]), "reps")
     # an id may stand for several sets if rows repeat it; they are linked by that id anyhow
     slim = reps.select("id", "n_shingles", "sign")
@@ -219,53 +317,59 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = rows.join(centers, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     left = slim.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sign").alias("sign_a"))
     right = slim.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sign").alias("sign_b"))
-    close = pairs.join(right, "b").join(left, "a").filter(sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b", "sign_a", "sign_b")
-    close = scratch.write(close.mapInArrow(_agreeing, "a long, b long"), "close")
-    # the center's text goes to each chunk of its members
-    chunks = close.groupBy("a").agg(F.ceil(F.count("*") / CENTER_CHUNK).alias("chunks"))
-    asked = close.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
-    wanted = asked.select("a", "chunk", F.col("b").alias("member"), F.col("b").alias("doc_id")).unionByName(
-        asked.select("a", "chunk").distinct().select("a", "chunk", F.lit(None).cast("bigint").alias("member"), F.col("a").alias("doc_id"))
+    close = pairs.join(right, "b").join(left, "a").filter(plan.sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b", "sign_a", "sign_b")
+    close = scratch.write(close.mapInArrow(lambda batches: _agreeing(batches, plan), "a long, b long"), "close")
+    # the center's text goes to each part of its members
+    asked = close.select("a", F.pmod(F.xxhash64("b"), F.lit(CENTER_PARTS)).cast("int").alias("part"), "b")
+    wanted = asked.select("a", "part", F.col("b").alias("member"), F.col("b").alias("doc_id")).unionByName(
+        asked.select("a", "part").distinct().select("a", "part", F.lit(None).cast("bigint").alias("member"), F.col("a").alias("doc_id"))
     )
     # the texts are dealt by id at any size, so that a larger corpus runs the plan of a smaller one
     wanted = scratch.write(wanted, "wanted")
-    sent = texts.hint("merge").join(wanted, "doc_id").select("a", "chunk", "member", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
-    links = scratch.write(sent.mapInArrow(_against_center, "a long, b long"), "links")
+    sent = texts.hint("merge").join(wanted, "doc_id").select("a", "part", "member", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("member").asc_nulls_first())
+    links = scratch.write(sent.mapInArrow(lambda batches: _against_center(batches, plan), "a long, b long"), "links")
     first = scratch.write(components(links, scratch, "first"), "first")
 
     placed = rows.join(first, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
     placed = scratch.write(placed.filter("members > 2"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    blocks = F.ceil(F.col("members") / SIGN_BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = placed.join(mixed, "key", "left_semi").select("key", "id", "component", mine.alias("mine"), other.alias("other"))
-    spread = spread.select("key", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "id", "component").join(slim, "id")
-    grouped = spread.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
-    doubtful = scratch.write(grouped.mapInArrow(_may_link, "grp binary, x int, y int, id long, component long").distinct(), "doubtful")
+    # of each bucket with several components: the largest one, and how many members there are in it and outside
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    bulk = F.max(F.struct("n", (F.col("component") * F.lit(-1)).alias("c")))
+    kinds = sizes.groupBy("key").agg(F.sum("n").alias("all"), bulk.alias("bulk")).filter(F.col("bulk.n") < F.col("all"))
+    kinds = kinds.select("key", (-F.col("bulk.c")).alias("bulk"), F.ceil((F.col("all") - F.col("bulk.n")) / STRAY_BLOCK).cast("int").alias("strays"), F.ceil(F.col("bulk.n") / SIGN_BLOCK).cast("int").alias("blocks"))
+    spread = placed.join(kinds, "key")
+    stray = F.col("component") != F.col("bulk")
+    own = F.when(stray, F.pmod(F.xxhash64("id"), F.col("strays"))).otherwise(F.col("strays") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    others = F.when(stray, F.col("strays") + F.col("blocks")).otherwise(F.col("strays")).cast("int")
+    spread = spread.select("key", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    spread = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component").join(slim, "id")
+    grouped = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+    doubtful = scratch.write(grouped.mapInArrow(lambda batches: _may_link(batches, plan), "grp binary, x int, y int, id long, component long").distinct(), "doubtful")
     meet = texts.withColumnRenamed("doc_id", "id").hint("merge").join(doubtful, "id").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
-    more = scratch.write(meet.select("grp", "x", "y", "id", "component", "text").mapInArrow(_across, "a long, b long"), "more")
-    repeated = real.filter("name IS NOT NULL").select(F.col("doc_id").alias("a"), "name").join(classes, "name").select("a", F.col("id").alias("b"))
-    same_id = repeated.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    more = scratch.write(meet.select("grp", "x", "y", "id", "component", "text").mapInArrow(lambda batches: _across(batches, plan), "a long, b long"), "more")
+    # rows that repeat a doc_id link the sets they have
+    several = real.groupBy("doc_id").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("a"))
+    several = scratch.write(several, "several")
+    own_sets = real.select(F.col("doc_id").alias("a"), "name").join(several, "a", "left_semi").distinct()
+    same_id = _with_class(own_sets, classes, total).select("a", F.col("id").alias("b"))
     final = first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same_id)
     final = components(final, scratch, "final")
 
-    of_set = classes.join(final, "id", "left").select("name", F.coalesce("component", "id").alias("component"))
-    out = signed.join(of_set, "name", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_set = scratch.write(classes.join(final, "id", "left").select("name", "n_rows", F.coalesce("component", "id").alias("component")), "of_set")
+    alone = signed.filter("doc_id IS NULL OR name IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = _with_class(real.select("doc_id", "n_shingles", "name"), of_set, total).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return alone.unionByName(found).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without the rows that are not kept, and one row of each doc_id.
+def drop_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without the rows that are not kept, and one row of each doc_id, the least by a hash of its columns.
 
-    The texts are dealt by id at any size; ids that rows repeat are rare, and looked at only if any.
+    The texts are dealt by id at any size; rows without an id are kept and need no dealing.
     """
-    judged = scratch.write(near_duplicates(docs, scratch), "judged")
+    judged = scratch.write(near_duplicates(docs, scratch, percent), "judged")
     drop = scratch.write(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "drop")
-    repeated = scratch.write(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")), "repeated")
-    left = docs.hint("merge").join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
-    if repeated.isEmpty():
-        return left
-    same = F.col("doc_id") == F.col("__id")
-    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    left = docs.filter("doc_id IS NOT NULL").hint("merge").join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
+    content = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("__content"))
+    one = left.withColumn("__content", content).withColumn("__nth", nth).filter("__nth = 1")
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))

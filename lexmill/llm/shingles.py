@@ -10,6 +10,8 @@ import numpy as np
 WORDS = 5
 #: Texts per slice hold about this many characters.
 SLICE_CHARS = 2_000_000
+#: Bytes whose words are hashed at once, or one longer word.
+PIECE_BYTES = 4_000_000
 
 _U = np.uint64
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -28,21 +30,39 @@ _BASE = _U(0xD1342543DE82EF95)
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, with A-Z lower-cased, and how many each text has."""
+    """64-bit hashes of all words, with A-Z lower-cased, and how many each text has.
+
+    Bytes are looked at in pieces of about PIECE_BYTES that end at a separator, so the arrays that
+    hold several numbers a byte stay small also for one very long text.
+    """
     raw = [b"" if t is None else t.encode().lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    out, per_text, at = [], np.zeros(len(raw), dtype=np.int64), 0
+    while at < len(data):
+        stop = at + PIECE_BYTES
+        while stop < len(data) and not (more := np.flatnonzero(_SEPARATOR[data[stop - 1 : stop + PIECE_BYTES]])).size:
+            stop += PIECE_BYTES
+        stop = len(data) if stop >= len(data) else stop + int(more[0])
+        found, starts = _piece_hashes(data[at:stop])
+        out.append(found)
+        np.add.at(per_text, np.searchsorted(ends, starts + at, side="right"), 1)
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, dtype=_U), per_text
+
+
+def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in bytes that end with a separator, and where each begins."""
     inside = ~_SEPARATOR[data]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    per_text = np.diff(np.searchsorted(starts, begins))
     if not len(starts):
-        return np.zeros(0, dtype=_U), per_text
+        return np.zeros(0, dtype=_U), starts
     lengths = ends - starts
     at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     power = np.cumprod(np.full(int(lengths.max()), _BASE, dtype=_U))
     value = _BYTE[data[inside]] * power[at]
-    return mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(_U)), per_text
+    return mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(_U)), starts
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:

@@ -17,7 +17,7 @@ def plain_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Component of each id by comparing all sets that share a shingle."""
     sets = [(i, plain_set(t)) for i, t in rows]
     root = {i: i for i, _ in sets}
@@ -45,14 +45,15 @@ def brute(rows):
     for k, (i, s) in enumerate(unique):
         common = Counter(j for x in s for j in has[x] if j > k)
         for j, c in common.items():
-            if 100 * c >= 85 * (len(s) + len(unique[j][1]) - c):
+            if 100 * c >= percent * (len(s) + len(unique[j][1]) - c):
                 join(i, unique[j][0])
     return {i: top(i) for i, _ in sets}, {i: len(s) for i, s in sets}
 
 
-def check(spark, folder, rows):
-    want, sizes = brute([r for r in rows if r[0] is not None])
-    out = [r for r in queries.op7_minhash(spark, folder).collect()]
+def check(spark, folder, rows, percent=85):
+    want, sizes = brute([r for r in rows if r[0] is not None], percent)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = queries.op7_minhash(spark, folder).collect() if percent == 85 else minhash.near_duplicates(docs, Scratch(spark, "t"), percent).collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
     for r in out:
         if r.doc_id is None:
@@ -97,11 +98,83 @@ def test_planted_groups(spark, tmp_path):
 
 def test_large_buckets_in_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(minhash, "SIGN_BLOCK", 16)
-    monkeypatch.setattr(minhash, "CENTER_CHUNK", 8)
+    monkeypatch.setattr(minhash, "STRAY_BLOCK", 4)
+    monkeypatch.setattr(minhash, "TEXT_BLOCK", 1000)
+    monkeypatch.setattr(minhash, "CENTER_PARTS", 8)
     rows = [(i, t, "en", "a") for i, t in enumerate(planted(2))]
     check(spark, write_docs(spark, tmp_path, rows), [(i, t) for i, t, *_ in rows])
 
 
+def test_other_thresholds(spark, tmp_path):
+    rows = [(i * 3, t, "en", "a") for i, t in enumerate(planted(6))]
+    folder = write_docs(spark, tmp_path, rows)
+    groups = [len(set(check(spark, folder, [(i, t) for i, t, *_ in rows], percent).values())) for percent in (70, 80, 90)]
+    assert groups[0] < groups[1] < groups[2]
+
+
+def test_plan_bounds():
+    import math
+
+    for percent in (70, 80, 85, 95):
+        plan, p = minhash.Plan(percent), percent / 100
+        assert (1 - p**minhash.ROWS) ** plan.bands <= minhash.MISS < (1 - p**minhash.ROWS) ** (plan.bands - 1)
+        assert 2 * plan.hashes >= plan.bands * minhash.ROWS
+        n = 2 * plan.hashes
+        assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(plan.least_agree)) < minhash.MISS
+
+
+def test_signatures_of_pairs_at_the_threshold_agree_enough():
+    """The binomial bounds min-max agreement: over many pairs at the threshold its spread is no larger."""
+    plan, rng, got = minhash.Plan(85), np.random.default_rng(5), []
+    for _ in range(300):
+        common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (170, 15, 15))
+        sign = minhash.signatures([shingles.mix(np.r_[common, x]) for x in (a, b)], plan.hashes)
+        got.append(int((sign[0] == sign[1]).sum()))
+    n = 2 * plan.hashes
+    assert min(got) >= plan.least_agree and np.var(got) < 1.25 * n * 0.85 * 0.15
+
+
+def test_one_bucket_of_near_copies_and_strays(spark, tmp_path):
+    """Strays near to a large component ask for its texts once, not once for each of its members."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows, asked = [word() for _ in range(80)], [], {}
+    for n in (400, 1600):
+        rows = []
+        for _ in range(n):
+            w = list(base)
+            w[rng.randrange(80)] = word()
+            rows.append(" ".join(w))
+        stray = list(base)
+        for k in (10, 30, 50):
+            stray[k] = word()
+        rows.append(" ".join(stray))
+        scratch = Scratch(spark, "t")
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        minhash.near_duplicates(docs, scratch).select(F.count("*")).collect()
+        asked[n] = spark.read.parquet(f"{scratch.root}/doubtful").count()
+    assert asked[1600] <= 6 * max(asked[400], 400 * minhash.Plan().bands // 6)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = [*planted(4)[:30], None, "", "x" * 500, " ", "a b " * 300]
+    want = shingles.word_hashes(texts)
+    for size in (1, 7, 100, 1000):
+        monkeypatch.setattr(shingles, "PIECE_BYTES", size)
+        got = shingles.word_hashes(texts)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_one_row_of_each_id_and_extra_columns(spark, tmp_path):
+    rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "x"), (1, "h i j k l m n", "x"), (2, "h i j k l m n", "x"), (3, "p q r s t u", "x"), (None, "p q r s t u", "x"), (None, None, "x"), (4, "", "x"), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").selectExpr("*", "1 AS component_id", "2 AS name", "3 AS id", "map('a', 1) AS m")
+    out = minhash.drop_duplicates(docs, Scratch(spark, "t"))
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.kept, r.name, r.m["a"]) for r in out.collect()) == [(False, 1, "x", 2, 1), (False, 3, "x", 2, 1), (False, 4, "x", 2, 1), (True, 0, "x", 2, 1), (True, 0, "x", 2, 1)]
+
+
 def test_awkward(spark, tmp_path):
     rows = [*awkward_rows(), (None, "one", None, None), (20, "ONE", "en", "a"), (21, "a b c", "en", "a"), (22, "A  b\tC", "en", "a"), (23, "É b c", "en", "a"), (24, "é b c", "en", "a")]
     check(spark, write_docs(spark, tmp_path, rows), [(i, t) for i, t, *_ in rows])
@@ -137,7 +210,7 @@ def test_signatures_are_unbiased():
     est = []
     for _ in range(30):
         shift = np.uint64(rng.integers(2**40))
-        sign = minhash.signatures([shingles.mix(np.r_[common, x] + shift) for x in (a, b)])
+        sign = minhash.signatures([shingles.mix(np.r_[common, x] + shift) for x in (a, b)], 64)
         est.append((sign[0] == sign[1]).mean())
     assert abs(np.mean(est) - 0.6) < 0.03
 
