@@ -205,8 +205,8 @@ def q31_vocab_merge(spark, sf_dir):
 
 @query(
     "q32_grammar_merge",
-    """WITH items AS (SELECT conv_id * 1000 + turn AS ord, 'p' || conv_id % 20 || ' ' || role AS pattern, left(text, 12) AS meaning, CASE WHEN turn > 1 THEN 'h' || conv_id ELSE ' ' END AS hanja,
-      unnest(['**' || left(text, 3) || '** a', left(text, 2)]) AS ex, generate_subscripts([1, 2], 1) AS pos FROM conversations),
+    """WITH items AS (SELECT conv_id * 1000 + turn AS ord, 'p' || conv_id % 20 || ' ' || role AS pattern, text AS meaning, CASE WHEN turn > 1 THEN 'h' || conv_id ELSE ' ' END AS hanja,
+      unnest(['**' || text || '** a', text]) AS ex, generate_subscripts([1, 2], 1) AS pos FROM conversations),
     heads AS (SELECT replace(pattern, ' ', '') AS key, min(ord) AS ord, arg_min(pattern, ord) AS pattern, arg_min(meaning, ord) AS meaning, coalesce(arg_min(hanja, ord) FILTER (trim(hanja) <> ''), '') AS hanja FROM items GROUP BY 1),
     named AS (SELECT key, i.ord, pos, ex, trim(nfc_normalize(CASE WHEN i.ord = h.ord THEN regexp_replace(ex, '\\*\\*([^\\n]+?)\\*\\*', '\\1', 'g') ELSE ex END)) AS name FROM items i JOIN heads h ON replace(i.pattern, ' ', '') = key),
     once AS (SELECT key, name, min(ord * 10 + pos) AS spot, arg_min(ex, ord * 10 + pos) AS ex FROM named WHERE name <> '' GROUP BY key, name)
@@ -216,9 +216,9 @@ def q32_grammar_merge(spark, sf_dir):
     c, text = F.col, F.col("text")
     ex = lambda t: F.struct(t.alias("target"), F.lit("").alias("english"))
     items = table(spark, sf_dir, "conversations").select(
-        (c("conv_id") * 1000 + c("turn")).alias("ord"), F.concat(F.lit("p"), c("conv_id") % 20, F.lit(" "), "role").alias("pattern"), F.left(text, F.lit(12)).alias("meaning"),
+        (c("conv_id") * 1000 + c("turn")).alias("ord"), F.concat(F.lit("p"), c("conv_id") % 20, F.lit(" "), "role").alias("pattern"), text.alias("meaning"),
         F.lit("").alias("explanation"), F.when(c("turn") > 1, F.concat(F.lit("h"), "conv_id")).otherwise(F.lit(" ")).alias("hanja"),
-        F.array(ex(F.concat(F.lit("**"), F.left(text, F.lit(3)), F.lit("** a"))), ex(F.left(text, F.lit(2)))).alias("examples"),
+        F.array(ex(F.concat(F.lit("**"), text, F.lit("** a"))), ex(text)).alias("examples"),
     )
     merged = merge.merge_grammar(items, "zh")
     return merged.select("ord", "pattern", "meaning", "hanja", F.array_join(F.transform("examples", lambda e: e["target"]), "|").alias("examples"))
@@ -266,10 +266,10 @@ def q37_last_chunk(spark, sf_dir):
 @query(
     "q42_grammar_cells",
     """SELECT conv_id, turn, CASE WHEN m <> '' AND e <> '' THEN '<b>' || m || '</b><br>' || e ELSE m || e END AS meaning, '<div class="card-notes"><span style="color: gray;">' || m || '</span></div>' AS notes FROM
-    (SELECT conv_id, turn, regexp_replace(replace(replace(replace(left(text, 30), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '^@WS+|@WS+\\z', '', 'g') AS m, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS e FROM conversations) WHERE m <> ''""",
+    (SELECT conv_id, turn, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '^@WS+|@WS+\\z', '', 'g') AS m, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS e FROM conversations) WHERE m <> ''""",
 )
 def q42_grammar_cells(spark, sf_dir):
-    said = table(spark, sf_dir, "conversations").withColumn("m", F.left("text", F.lit(30)))
+    said = table(spark, sf_dir, "conversations").withColumn("m", F.col("text"))
     second = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.lit(""))
     return said.filter(~strings.is_blank(F.col("m"))).select("conv_id", "turn", cards.grammar_meaning(F.col("m"), second).alias("meaning"), cards.context_notes(F.col("m")).alias("notes"))
 

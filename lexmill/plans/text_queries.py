@@ -203,14 +203,14 @@ def q27_pattern_first(spark, sf_dir):
 
 @query(
     "q38_highlight",
-    """WITH s AS (SELECT doc_id, replace(replace(replace(left(text, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM documents)
+    """WITH s AS (SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM documents)
     SELECT doc_id, replace('<span style="color: blue;">' || CASE WHEN regexp_matches(safe, '\\*\\*([^\\n]+?)\\*\\*')
       THEN regexp_replace(safe, '\\*\\*([^\\n]+?)\\*\\*', '</span><span style="color: red;">\\1</span><span style="color: blue;">', 'g')
       WHEN contains(safe, 'the') THEN replace(safe, 'the', '</span><span style="color: red;">the</span><span style="color: blue;">') ELSE safe END || '</span>', '<span style="color: blue;"></span>', '') AS html FROM
       (SELECT doc_id, regexp_replace(safe, '^@WS+|@WS+\\z', '', 'g') AS safe FROM s) WHERE safe <> ''""",
 )
 def q38_highlight(spark, sf_dir):
-    made = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", cards.sentence_list(F.array(F.left("text", F.lit(400))), F.lit("the")).alias("html"))
+    made = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", cards.sentence_list(F.array("text"), F.lit("the")).alias("html"))
     return made.filter("html <> ''")
 
 
