@@ -3,16 +3,20 @@
 The distinct words of a batch become one flat array of symbols. A round looks up every adjacent
 pair by binary search over the sorted pair keys, takes each word's lowest rank, merges all
 occurrences of it, and compacts the array; words without a known pair leave. Rounds end when no
-word is left, so their number follows the longest word and not the number of words.
+word is left, so their number follows the longest word and not the number of words. Words of more
+than ``LONG`` bytes, which would need very many rounds, go by rounds of one rank each, in ascending
+order over all of them: a round touches the places of that rank and their neighbours only.
 
 Defined results: a null text counts as empty (no ids, empty decoded text). Texts are never cut:
 a batch is processed in slices of about ``SLICE_CHARS`` characters, each holding whole texts.
-Repeated rows give repeated results. Extra input columns are ignored.
+Repeated rows give repeated results. Columns besides the text and those to keep are not read; one
+of the kept columns must not have the name of an output.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 2_000_000
 #: Distinct words remembered between slices.
 CACHE_WORDS = 600_000
+#: Bytes of a word that rounds over whole words still suit.
+LONG = 64
 
 # Fixed value: the published byte-level pre-tokenizer pattern, with \s spelled as the Unicode property.
 PATTERN = (
@@ -92,6 +98,75 @@ class ByteBpe:
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit integers."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self.merge_short(words)
+        at = set(long)
+        short = [i for i in range(len(words)) if i not in at]
+        out: list[bytes] = [b""] * len(words)
+        for chosen, merged in ((short, self.merge_short), (long, self.merge_long)):
+            for i, ids in zip(chosen, merged([words[i] for i in chosen]), strict=True):
+                out[i] = ids
+        return out
+
+    def merge_long(self, words: list[bytes]) -> list[bytes]:
+        """The same by rounds of one rank each, over linked symbols.
+
+        A merge makes pairs of higher ranks only, so each rank has its turn once.
+        """
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        symbol = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ends = np.cumsum(sizes)
+        n, none = symbol.size, len(self.made_by_rank)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        alive = np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def ranked(at: np.ndarray) -> np.ndarray:
+            key = symbol[at] * self.span + symbol[after[at]]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[found] == key, self.rank_of_key[found], none)
+
+        def wait(at: np.ndarray) -> None:
+            rank = ranked(at)
+            at, rank = at[rank != none], rank[rank != none]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for r, part in zip(rank[np.r_[0, cuts]].tolist(), np.split(at, cuts), strict=True) if len(at) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(np.flatnonzero(after >= 0))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[alive[at] & (after[at] >= 0)]
+            at = at[ranked(at) == rank]
+            if not len(at):
+                continue
+            # of a run of equal symbols, every second pair merges, from the left
+            run = np.cumsum(np.r_[True, after[at[:-1]] != at[1:]])
+            at = at[(np.arange(at.size) - np.searchsorted(run, run)) % 2 == 0]
+            right = after[at]
+            symbol[at] = self.made_by_rank[rank]
+            alive[right] = False
+            beyond = after[right]
+            after[at] = beyond
+            inner = beyond >= 0
+            before[beyond[inner]] = at[inner]
+            left = before[at]
+            wait(np.unique(np.concatenate([at[inner], left[left >= 0]])))
+        ids, left = symbol[alive].astype("<u4"), np.cumsum(np.r_[0, alive])
+        return [ids[left[e - s] : left[e]].tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+    def merge_short(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word by rounds over whole words."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         symbol = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -173,21 +248,29 @@ def load(path: str) -> ByteBpe:
         return ByteBpe(file.read())
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus ids: array<int>, and decoded: string, of every whole text."""
-    return _mapped(spark, docs, path, text_col, keep, digest=False)
+#: What ``encode`` can return of each text, and its type.
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode_digests(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
-    return _mapped(spark, docs, path, text_col, keep, digest=True)
+def _outputs(ids: list[bytes], back: list[str], names: tuple[str, ...]) -> list[pa.Array]:
+    def made(name: str) -> pa.Array:
+        if name == "ids":
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32()))
+        if name == "decoded":
+            return pa.array(back, pa.string())
+        if name == "n_tokens":
+            return pa.array([len(x) // 4 for x in ids], pa.int64())
+        return pa.array([hashlib.sha256(x).hexdigest() for x in (ids if name == "ids_sha256" else map(str.encode, back))], pa.string())
+
+    return [made(name) for name in names]
 
 
-def _mapped(spark: SparkSession, docs: DataFrame, path: str, text_col: str, keep: tuple[str, ...], digest: bool) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``keep`` columns plus those of OUTPUTS that are asked for, of every whole text."""
     tables = spark.sparkContext.broadcast(load(path))
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables.value
@@ -195,21 +278,14 @@ def _mapped(spark: SparkSession, docs: DataFrame, path: str, text_col: str, keep
             at = 0
             for texts in slices(batch.column(len(keep)).to_pylist()):
                 ids = bpe.encode(texts)
-                back = [bpe.decode(x) for x in ids]
-                if digest:
-                    more = [
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
-                    ]
-                    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    flat = np.frombuffer(b"".join(ids), dtype="<i4")
-                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                    more = [pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(back)]
-                    names = ["ids", "decoded"]
+                more = _outputs(ids, [bpe.decode(x) for x in ids], outputs)
                 own = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(len(keep))), *more], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(len(keep))), *more], [*keep, *outputs])
                 at += len(texts)
 
-    return source.mapInArrow(run, f"{kinds}, {added}" if kinds else added)
+    return source.mapInArrow(run, ", ".join([*kinds, *(f"{name} {OUTPUTS[name]}" for name in outputs)]))
+
+
+def encode_digests(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns plus n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
+    return encode(spark, docs, path, text_col, keep, ("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -36,11 +36,36 @@ def test_bpe_equals_library(library, own, parts):
 
 
 def test_bpe_every_code_point(library, own):
-    texts = ["x" + chr(c) + " " + chr(c) for c in range(0, 0x11000, 1) if not 0xD800 <= c < 0xE000]
+    points = [*range(0, 0x32000), *range(0xE0000, 0xE0200), 0x10FFFF]
+    texts = ["x" + chr(c) + " " + chr(c) for c in points if not 0xD800 <= c < 0xE000]
     for text, got in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("alphabet", ["a", "ab", "the", "etaoinshrdlu", "é中=-"])
+def test_bpe_long_words(library, own, alphabet):
+    import random
+
+    rng = random.Random(len(alphabet))
+    for n in (63, 64, 65, 66, 500, 20_000):
+        text = "".join(rng.choice(alphabet) for _ in range(n))
+        assert np.frombuffer(own.encode([f"{text} x {text}"])[0], "<u4").tolist() == library.encode(f"{text} x {text}", add_special_tokens=False).ids
+
+
+def test_bpe_a_run_of_very_many_letters(library, own):
+    import random
+    import time
+
+    rng = random.Random(0)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000))
+    own.encode(["warm"])
+    began = time.process_time()
+    got = own.encode([text])[0]
+    took = time.process_time() - began
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert took < 10  # whole rounds over the array take over ten times as long
+
+
 def test_bpe_decodes_broken_bytes(library, own):
     ids = np.arange(0, 50257, 7, dtype="<u4")
     assert own.decode(ids.tobytes()) == library.decode(ids.tolist(), skip_special_tokens=False)
