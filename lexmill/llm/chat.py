@@ -13,6 +13,7 @@ so control strings never occur in them and parsing reverses it exactly.
 Defined results: a null text or role counts as empty. A message whose parent is unknown is a root.
 Repeated (tree, message) ids keep one row, the least by role and text; in ``conversation_turns``
 repeated turns follow one another instead, by role and text. A cycle has no root and yields no path.
+Other columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +30,6 @@ from lexmill.llm.scratch import Scratch
 
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 ASSISTANT = "assistant"
-#: Doubling rounds; paths of 2^40 messages are longer than any table.
-MAX_ROUNDS = 40
-
 _BACK = {"\\": "\\", "h": "#", "l": "<", "c": ":"}
 
 
@@ -42,8 +40,14 @@ def escaped(text: Column, role: bool = False) -> Column:
     return F.replace(out, F.lit(":"), F.lit("\\c")) if role else out
 
 
+def _back(found: re.Match) -> str:
+    if found[1] not in _BACK:
+        raise ValueError("unknown escape")
+    return _BACK[found[1]]
+
+
 def unescaped(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: _BACK[m[1]], text) if "\\" in text else text
+    return re.sub(r"(?s)\\(.?)", _back, text) if "\\" in text else text
 
 
 def parse_turn(fragment: str) -> tuple[str, str]:
@@ -80,7 +84,9 @@ def choose_paths(messages: DataFrame, scratch: Scratch, best: int = 1) -> DataFr
     # one table a round: each message's pointer, its length, and the score of the messages it skips, itself included
     pointers = [scratch.write(linked.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("bigint").alias("steps"), F.coalesce("score", F.lit(0.0)).alias("sum")), "up0")]
     roots: list[DataFrame] = []
-    while len(pointers) < MAX_ROUNDS:
+    # a pointer longer than the largest tree runs in a cycle
+    largest = slim.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while len(pointers) < largest.bit_length() + 2:
         now = pointers[-1]
         open_ = now.filter(F.col("up").isNotNull())
         roots.append(now.filter(F.col("up").isNull()).select("tree", "node", F.col("steps").alias("depth"), "sum"))

@@ -1,9 +1,12 @@
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
-from helpers import awkward_rows, write_docs
+from helpers import DOC_SCHEMA, awkward_rows, write_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,9 +30,14 @@ def test_turns_round_trip(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="\\#<>/turn:hlc \n", max_size=30))
 def test_unescape_refuses_raw_controls(text):
-    for bad in ("### user: " + text, text + "</turn>\n"):
-        with pytest.raises(ValueError):
-            chat.parse_turn(bad)
+    for given_ in ("### user: " + text, text + "</turn>\n", "### user: " + text + "</turn>\n"):
+        try:
+            _, back = chat.parse_turn(given_)
+        except ValueError:
+            continue
+        # what passes is one turn without control strings inside
+        inside = given_.removeprefix("### ").removesuffix("</turn>\n")
+        assert len(inside) == len(given_) - 12 and "###" not in inside and "</turn>" not in inside and len(back) <= len(inside)
 
 
 def digest(turns):
@@ -115,5 +123,74 @@ def test_language_awkward(spark, tmp_path):
 def test_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Ça va bien, merci! " * 50
     whole = langid.gram_counts(text)
-    monkeypatch.setattr(langid, "PIECE_BYTES", 17)
+    monkeypatch.setattr(langid, "PIECE_CHARS", 17)
     assert (langid.gram_counts(text) == whole).all()
+
+
+def test_grams_are_of_characters():
+    """One count for each character n-gram, whatever its bytes."""
+    for text in ("Ça va", "中文内容", "x", "ÀÉ中😀ab"):
+        low = text.lower()
+        want = Counter(low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1))
+        assert langid.gram_counts(text).sum() == sum(want.values())
+        assert np.count_nonzero(langid.gram_counts(text)) <= len(want)
+    assert (langid.gram_counts("") == 0).all()
+    # texts that share bytes and no character n-gram share no column (but for hashes)
+    assert (np.minimum(langid.gram_counts("中"), langid.gram_counts("丮")) == 0).all()
+
+
+def test_ftrl_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    columns, classes = 7, 3
+    leader = langid.Ftrl(columns, classes)
+    z, n = [[0.0] * classes for _ in range(columns)], [[0.0] * classes for _ in range(columns)]
+    zeros = 0
+
+    def weight(i, k):
+        l1 = 0.0 if i == columns - 1 else langid.L1
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        sign = 1 if z[i][k] > 0 else -1
+        return -(z[i][k] - sign * l1) / ((langid.BETA + n[i][k] ** 0.5) / langid.ALPHA + langid.L2)
+
+    for _ in range(40):
+        x, y, heed = rng.normal(size=(5, columns)) * (rng.random((5, columns)) < 0.6), rng.integers(0, classes, 5), rng.random(5) + 0.5
+        leader.step(x, np.eye(classes)[y], heed)
+        w = [[weight(i, k) for k in range(classes)] for i in range(columns)]
+        g = [[0.0] * classes for _ in range(columns)]
+        for row, label, much in zip(x.tolist(), y.tolist(), heed.tolist(), strict=True):
+            e = [math.exp(sum(row[i] * w[i][k] for i in range(columns))) for k in range(classes)]
+            for i in range(columns):
+                for k in range(classes):
+                    g[i][k] += row[i] * (e[k] / sum(e) - (k == label)) * much / 5
+        for i in range(columns):
+            for k in range(classes):
+                sigma = ((n[i][k] + g[i][k] ** 2) ** 0.5 - n[i][k] ** 0.5) / langid.ALPHA
+                z[i][k] += g[i][k] - sigma * w[i][k]
+                n[i][k] += g[i][k] ** 2
+        assert np.allclose(leader.weights(), [[weight(i, k) for k in range(classes)] for i in range(columns)])
+        zeros += int((leader.weights() == 0).sum())
+    assert zeros
+
+
+def test_language_ties_repeats_and_bounds(spark, monkeypatch):
+    rows = [(5, "the of and is not with", "en")] * 400 + [(5, "der die und das ist nicht", "de")] * 400 + [(7, "zz", x) for x in ("aa", "ab")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "0.5 AS score", "'x' AS lang_pred", "1 AS h", "2 AS level")
+    model = langid.train(docs)
+    assert model.langs == ["aa", "ab", "de", "en"]
+    got = [(r.doc_id, r.lang_pred) for r in langid.predict_all(docs).collect()]
+    assert len(got) == len(rows) and {p for i, p in got if i == 7} == {"aa"}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    assert langid.train(docs).langs == ["de", "en"]
+
+
+def test_language_empty(spark, tmp_path):
+    spark.createDataFrame([], DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op8_langid(spark, str(tmp_path)).count() == 0
+
+
+def test_a_cycle_ends_with_its_tree(spark):
+    rows = [(1, k, (k + 1) % 9, "user", "x", 1.0) for k in range(9)] + [(2, k, k - 1 if k else None, "user", "y", 1.0) for k in range(33)]
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    scratch = Scratch(spark, "t")
+    assert sorted((r.tree, r.depth) for r in chat.choose_paths(frame, scratch).collect()) == [(2, k + 1) for k in range(33)]
