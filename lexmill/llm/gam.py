@@ -6,7 +6,9 @@ damped leaf values to that measure's lookup table. The pairs whose 2-d bins expl
 left then get tables of their own in the same way. A score is the logistic of a sum of table entries.
 
 Defined results: null, empty and blank texts have all measures 0 and are scored from those bins.
-Without training labels of both kinds the score is the share of label 1 (0.5 without labels).
+Without training labels of both kinds the score is the share of label 1 (0.5 without labels). A
+document labelled twice counts twice; equally good splits take the lowest bin. Columns besides doc_id,
+text and quality are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ on any cluster. Of ``SEEDS`` seeds each source uses the one whose draw ends near
 
 Defined results: sources are ordered by code point with null last; a null text has size 0; a
 source without words has target 0 and no copies. Equal rows are drawn alike. An empty table
-gives no rows.
+gives no rows. Columns besides doc_id, source and text pass through ``mix``, whatever their names, and
+are not read by ``mix_report``; names that begin with two underscores are taken.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ grows. The list becomes one ordered CASE expression. Only DataFrame operations t
 
 Defined results: null, empty and blank texts have all measures 0. Labels other than 0 and 1, and
 labels of unknown documents, are not used; a document labelled twice counts twice. Without labels of
-both kinds the list is empty and the verdict is to keep.
+both kinds the list is empty and the verdict is to keep. Of equally good conditions the first measure,
+"above" and the lowest threshold win. Columns besides doc_id, text and quality are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,11 +108,16 @@ def cells(labelled: DataFrame, cuts: dict[str, list[float]]) -> list[tuple[tuple
 def learn(labelled: DataFrame) -> list[Rule]:
     """The decision list for rows of doc_id, quality and the measures of ``ratios``."""
     cuts = thresholds(labelled)
-    left = cells(labelled, cuts) if cuts else []
+    found = cells(labelled, cuts) if cuts else []
+    if not found:
+        return []
     names = list(cuts)
+    bins = np.array([at for at, _ in found], dtype=np.int64).reshape(-1, len(names))
+    counts = np.array([n for _, n in found], dtype=np.int64).reshape(-1, 4)
     every = [(k, above, t) for k, n in enumerate(names) for t in range(len(cuts[n])) for above in (True, False)]
-    holds = lambda at, c: (at[c[0]] > c[2]) == c[1]
-    total = lambda rows, k: sum(n[k] for _, n in rows)
+    holds = lambda rows, c: (bins[rows, c[0]] > c[2]) == c[1]
+    total = lambda rows, k: int(counts[rows, k].sum())
+    left = np.arange(len(found))
     rules: list[Rule] = []
     while len(rules) < MAX_RULES and total(left, 0) >= LEAST_COVER:
         chosen: list[tuple[int, bool, int]] = []
@@ -120,7 +127,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
             base = math.log2(low / (low + high))
 
             def gain(c, covered=covered, base=base):
-                kept = [x for x in covered if holds(x[0], c)]
+                kept = covered[holds(covered, c)]
                 p, n = total(kept, 0), total(kept, 1)
                 return p * (math.log2(p / (p + n)) - base) if p else -1.0
 
@@ -128,12 +135,17 @@ def learn(labelled: DataFrame) -> list[Rule]:
             if gain(best) <= 0:
                 break
             chosen.append(best)
-            covered = [x for x in covered if holds(x[0], best)]
+            covered = covered[holds(covered, best)]
         if not chosen:
             break
 
-        def worth(conditions, left=left):
-            kept = [x for x in left if all(holds(x[0], c) for c in conditions)]
+        def under(conditions, left=left):
+            for c in conditions:
+                left = left[holds(left, c)]
+            return left
+
+        def worth(conditions):
+            kept = under(conditions)
             p, n = total(kept, 2), total(kept, 3)
             return ((p - n) / (p + n), p) if p + n else (-1.0, 0)
 
@@ -142,7 +154,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
         if (worth(chosen)[0] + 1) / 2 < LEAST_PRECISION:
             break
         rules.append(Rule(tuple(Condition(names[k], above, cuts[names[k]][t]) for k, above, t in chosen)))
-        left = [x for x in left if not all(holds(x[0], c) for c in chosen)]
+        left = np.setdiff1d(left, under(chosen))
     return rules
 
 

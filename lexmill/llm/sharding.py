@@ -8,6 +8,7 @@ ANSI arithmetic. Everything is a DataFrame expression.
 
 Defined results: a null key hashes as 0 in a key of its own group; a null text has size 16 and
 CRC 0. Equal keys share a shard and still get a slot of their own each. An empty table gives no rows.
+Rows equal in all three measures take slots in any order. Other columns are not read.
 """
 
 from __future__ import annotations
