@@ -13,20 +13,28 @@ from lexmill.llm import bpe, langid, minhash, mixing, suffixes
 from lexmill.llm.queries import vocabulary_path
 from lexmill.llm.scratch import Scratch, read_table
 
-#: A language this unlikely, or none at all, is a reason to reject a document.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A prediction as sure as this replaces another language that a document claims.
+SURE = 0.99
+#: Per cent of common shingles, of all of two texts, that makes them near-duplicates.
+NEAR_PERCENT = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language stays unclear."""
-    found = langid.identify(docs, langid.train(docs.select("doc_id", "text", "lang")), keep=tuple(docs.columns), with_text=True)
-    clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return found.filter(clear).select(*docs.columns)
+    """Rejects documents without letters and those of no learned language; fills and corrects ``lang``.
+
+    The least score of a clear prediction follows from held-out rows.
+    """
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    least = langid.least_score(docs, model)
+    found = langid.identify(docs, model, keep=tuple(docs.columns), with_text=True, names=("__lang", "__score"))
+    clear = found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= least))
+    lang = F.when(F.col("lang").isNull() | (F.col("__score") >= SURE), F.col("__lang")).otherwise(F.col("lang"))
+    return clear.withColumn("lang", lang).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, and one row of each doc_id."""
-    return minhash.drop_duplicates(docs, Scratch(spark, "minhash"))
+    return minhash.drop_duplicates(docs, Scratch(spark, "minhash"), NEAR_PERCENT)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +48,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of each mixed document."""
-    return bpe.encode_digests(spark, docs, vocabulary_path(), keep=("doc_id", "source"))
+    """doc_id, source, ids, n_tokens, ids_sha256 and decoded_sha256 of each mixed document."""
+    return bpe.encode(spark, docs, vocabulary_path(), keep=("doc_id", "source"), outputs=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [
