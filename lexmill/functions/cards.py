@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions.hangul import related
-from lexmill.functions.strings import WS, blank_if_null, casefold, escape, is_blank, nfc, squeeze, strip, strip_html, unescape_common
+from lexmill.functions.strings import WS, blank_if_null, casefold, escape, is_blank, nfc, squeeze, strip, strip_html, unescape_each
 
 # The markup of cards.
 RED, BLUE, GRAY, END = '<span style="color: red;">', '<span style="color: blue;">', '<span style="color: gray;">', "</span>"
@@ -112,8 +112,8 @@ def is_plain_text(field: Column) -> Column:
 def parsed(markup: Column) -> Column:
     """array<struct<body, reds>>: plain sentences with the texts of their red spans; blank ones drop."""
     one = lambda p: F.struct(
-        strip(unescape_common(F.regexp_replace(p, ANY_SPAN, ""))).alias("body"),
-        F.transform(F.regexp_extract_all(p, F.lit(RED_TEXT), F.lit(1)), unescape_common).alias("reds"),
+        strip(unescape_each(F.regexp_replace(p, ANY_SPAN, ""))).alias("body"),
+        F.transform(F.regexp_extract_all(p, F.lit(RED_TEXT), F.lit(1)), unescape_each).alias("reds"),
     )
     return F.filter(F.transform(pieces(blank_if_null(markup)), one), lambda s: s["body"] != "")
 

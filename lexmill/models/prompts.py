@@ -28,3 +28,9 @@ def notes(word: Column, lang: Column, english: Column) -> tuple[Column, Column]:
 def remark(word: Column, lang: Column, lines: Column) -> tuple[Column, Column]:
     system = F.concat(F.lit("You mark where a "), _language(lang), F.lit(' word occurs, in whatever form, with ** around it. Reply with a JSON object: {"sentences": [..]} in the same order.'))
     return system, F.concat(F.lit("Word: "), word, F.lit("\nSentences:\n"), lines)
+
+
+def grammar(lang: Column) -> Column:
+    """The system prompt of grammar extraction; the text itself is the user prompt."""
+    item = '{"pattern": .., "meaning": .., "explanation": .., "hanja": .., "examples": [{"target": sentence with ** around the pattern, "english": ..}]}'
+    return F.concat(F.lit("List the "), _language(lang), F.lit(f' grammar patterns that a text teaches. Reply with a JSON object: {{"patterns": [{item}]}}.'))

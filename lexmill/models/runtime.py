@@ -7,6 +7,7 @@ bounded number of partitions, and each takes its share.
 
 from __future__ import annotations
 
+import importlib
 import json
 import math
 import re
@@ -111,6 +112,9 @@ def stub_provider(system: str, user: str, max_tokens: int) -> tuple[str, tuple[i
     if '"sentences"' in system:
         lines = user.partition("Sentences:\n")[2].split("\n")
         return json.dumps({"sentences": [f"{line} **{word}**" for line in lines]}, ensure_ascii=False), None
+    if '"patterns"' in system:
+        found = sorted(set(re.findall(r"~\w+", user)))
+        return json.dumps({"patterns": [{"pattern": p, "meaning": f"gloss of {p}", "explanation": "", "hanja": "", "examples": [{"target": f"**{p}** 1", "english": ""}]} for p in found]}, ensure_ascii=False), None
     if '"words"' in system:
         return json.dumps({"words": sorted(set(re.findall(r"\w+", user)))[:20]}, ensure_ascii=False), None
     return json.dumps({"notes": f"use of {word}"}, ensure_ascii=False), None
@@ -138,6 +142,22 @@ def words_of_reply(payload: Column) -> Column:
     return F.coalesce(*[parsed[k] for k in WORD_KEYS], F.array().cast("array<string>"))
 
 
+def grammar_of_reply(payload: Column) -> Column:
+    """The grammar items of a JSON reply that have a pattern and a meaning; an empty list if there are none."""
+    item = "struct<pattern:string,meaning:string,explanation:string,hanja:string,examples:array<struct<target:string,english:string>>>"
+    parsed = F.from_json(payload, f"patterns array<{item}>")["patterns"]
+    usable = lambda g: (F.trim(F.coalesce(g["pattern"], F.lit(""))) != "") & (F.trim(F.coalesce(g["meaning"], F.lit(""))) != "")
+    return F.coalesce(F.filter(parsed, usable), F.array().cast(f"array<{item}>"))
+
+
+def load_provider(name: str) -> Provider:
+    """The callable that ``module:attribute`` names."""
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise SystemExit(f"a provider is named module:attribute, not {name!r}")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def exact_length(sentences: Column, n: int) -> Column:
     return F.size(sentences) == n
 

@@ -44,7 +44,7 @@ def prepare(terms: DataFrame, lang: str) -> DataFrame:
     keyed = base.select("ord", "term", "norm", F.explode(F.array(made)).alias("p"))
     return keyed.select(
         "ord", "term", "norm", "p.units", "p.letters", "p.bag", "p.n", F.length("norm").alias("n_norm"), "p.stem",
-        has_notation(F.col("term")).alias("notation"), hangul.variant_keys(F.col("term")).alias("variants"),
+        has_notation(F.col("norm")).alias("notation"), hangul.variant_keys(F.col("norm")).alias("variants"),
     )
 
 

@@ -6,6 +6,7 @@ file with its header lines first that note programs import.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +71,32 @@ def write_audit(audited: DataFrame, decks: DataFrame, path: str) -> None:
 
 
 def write_updates(repaired: DataFrame, line: Column, folder: str, mode: str = "overwrite") -> None:
-    """Update lines partitioned by note type, ready for a header each."""
-    repaired.select(slug(F.col("model_name"), "model").alias("notetype"), line.alias("line")).write.mode(mode).partitionBy("notetype").text(folder)
+    """Update lines in a folder a note type, each file beginning with the directive lines of its type.
+
+    The lines of a type are dealt to sorted runs; the fields of its notes (``field_order``, if there)
+    name its columns.
+    """
+    lines = repaired.select(slug(F.col("model_name"), "model").alias("notetype"), (F.array_join("field_order", "\t") if "field_order" in repaired.columns else F.lit("")).alias("names"), line.alias("line"))
+    names = tsv_header(["%s"])
+    head = F.concat(F.lit("\n".join(names).replace("%s", "")), F.col("names"))
+    # one file a (type, task): the header is the first row of each
+    runs = lines.repartition("notetype", "names", F.pmod(F.xxhash64("line"), F.lit(64))).sortWithinPartitions("notetype", "names", "line")
+
+    def headed(batches):
+        last = None
+        for batch in batches:
+            out = []
+            for kind, top, text in zip(*(batch.column(n).to_pylist() for n in ("notetype", "top", "line")), strict=True):
+                if (kind, top) != last:
+                    last = (kind, top)
+                    out.append((kind, top))
+                out.append((kind, text))
+            if out:
+                kinds, texts = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["notetype", "line"])
+
+    made = runs.select("notetype", head.alias("top"), "line").mapInArrow(headed, "notetype string, line string")
+    made.write.mode(mode).partitionBy("notetype").text(folder)
 
 
 def report_lines(pairs: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from lexmill.functions.strings import strip, term_key
 from lexmill.operators.rows import numbered
 
 SUFFIXES = {"pdf": "pdf", "docx": "docx", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image"}
+#: How a card file names its columns.
+COLUMNS_LINE = "#columns:"
 EXAMPLE = "array<struct<target:string,english:string>>"
 GRAMMAR = f"pattern string, meaning string, explanation string, hanja string, examples {EXAMPLE}"
 AUDIT = (
@@ -132,12 +134,18 @@ def peek_lang(spark: SparkSession, path: str) -> str | None:
 
 
 def completed_csv_keys(spark: SparkSession, path: str, column: str, columns: list[str]) -> DataFrame:
-    """(key): terms that a card file holds already. Physical lines that begin with # are directives."""
-    lines = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = lines.select(F.from_csv("value", schema, {"escape": '"'}).alias("r"))
-    key = term_key(F.col(f"r.`{column}`"))
-    return rows.select(key.alias("key")).filter((F.col("key") != "") & (F.col("key") != column)).distinct()
+    """(key): terms that a card file holds already.
+
+    The file's own #columns directive names its columns, ``columns`` those of a file without one. A
+    quoted cell may hold line breaks; lines outside of cells that begin with # are directives.
+    """
+    named = spark.read.text(path).filter(F.startswith("value", F.lit(COLUMNS_LINE))).first()
+    names = named["value"][len(COLUMNS_LINE) :].split(",") if named else columns
+    if column not in names:
+        raise ValueError(f"no column {column!r} in {path}: {', '.join(names)}")
+    schema = ", ".join(f"`{c}` string" for c in names)
+    rows = spark.read.schema(schema).option("multiLine", True).option("escape", '"').option("comment", "#").csv(path)
+    return rows.select(term_key(F.col(f"`{column}`")).alias("key")).filter(F.col("key") != "").distinct()
 
 
 def completed_guids(spark: SparkSession, pattern: str) -> DataFrame:

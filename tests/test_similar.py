@@ -87,3 +87,9 @@ def test_empty(spark):
     none = spark.createDataFrame([], "ord long, term string")
     assert similar.find_similar(none, "ko", 0.8).count() == 0
     assert similar.clusters(similar.find_similar(none, "zh", 0.8)).count() == 0
+
+
+def test_variant_keys_are_of_the_stripped_term(spark):
+    rows = spark.createDataFrame([(0, "\u3000~ㄹ까 하다"), (1, "~ㄹ/을까 하다")], "ord long, term string")
+    found = similar.find_similar(rows, "ko", 0.8).collect()
+    assert [(r.reason, r.score) for r in found] == [("notation-variant", 1.0)]

@@ -5,6 +5,7 @@ import zipfile
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import merge, rows
@@ -135,3 +136,13 @@ def test_manifest(spark):
     chunks = spark.createDataFrame([("k", 0), ("k", 1)], "file_key string, chunk int")
     cache = spark.createDataFrame([("k", 0, "vocab"), ("k", 1, "grammar")], "file_key string, chunk int, kind string")
     assert [r.chunk for r in folder.pending_chunks(chunks, cache, "vocab").collect()] == [1]
+
+
+def test_completed_keys_of_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('#separator:comma\n#columns:English,Hanzi\n"to go\n#or to leave",走\n"a ""b"", c",学\n,\n')
+    keys = files.completed_csv_keys(spark, str(tmp_path / "c.csv"), "Hanzi", ["Hanzi", "English"])
+    assert sorted(r.key for r in keys.collect()) == ["学", "走"]
+    english = files.completed_csv_keys(spark, str(tmp_path / "c.csv"), "English", ["Hanzi", "English"])
+    assert sorted(r.key for r in english.collect()) == ['a "b", c', "to go\n#or to leave"]
+    with pytest.raises(ValueError):
+        files.completed_csv_keys(spark, str(tmp_path / "c.csv"), "Pinyin", [])

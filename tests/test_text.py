@@ -149,3 +149,19 @@ def test_chunks(spark):
     frame = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "s")], "id long, text string")
     rows = chunk.explode_chunks(frame, 40).orderBy("id", "chunk").collect()
     assert [r.chunk_text for r in rows if r.id == 1] == made and {r.id for r in rows} == {1, 4}
+
+
+def test_unescape_each_equals_html(spark):
+    import html
+
+    texts = ["", None, "a & b", "&eacute;&#233;&#xE9;&#XE9; &amp;eacute; &amp;lt;", "&#8217;&hellip;&nbsp;x", "&nosuch; &;&#; &#x; &lt", "&#128512;&#x1F600;", "&#55296;&#1114112;&#0;&#128;&#150;", "&NotEqualTilde;", "&&lt;&gt;&&", "&quot;&apos;&#39;&#039;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", strings.unescape_each(F.col("t")).alias("u"), F.transform(F.array("t"), strings.unescape_each).alias("l"))
+    for r in rows.collect():
+        want = None if texts[r.i] is None else html.unescape(texts[r.i].replace("&lt ", "&lt;")) if not texts[r.i].endswith("&lt") else texts[r.i]
+        assert r.u == want and r.l == [want], texts[r.i]
+
+
+def test_sentences_unescape_every_entity(spark):
+    row = spark.createDataFrame([('<span style="color: blue;">caf&eacute; &#8217;x&#8217; <span style="color: red;">&agrave;</span> &amp;eacute;</span>',)], "f string")
+    assert row.select(cards.plain_sentences(F.col("f"))).first()[0] == ["café ’x’ à &eacute;"]
+    assert row.select(cards.marked_sentences(F.col("f"))).first()[0] == ["café ’x’ **à** &eacute;"]
