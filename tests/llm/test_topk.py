@@ -45,28 +45,44 @@ def test_awkward_vectors(spark, tmp_path):
     assert collected(queries.op4_topk(spark, str(tmp_path))) == brute(rows)
 
 
-@pytest.mark.parametrize("big", [1.0, 2.0**14, 2.0**19])
-def test_search_equals_brute_force(big):
+@pytest.mark.parametrize("big", [1.0, 2.0**14, 2.0**19, 2.0**22])
+def test_search_equals_brute_force(big, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 400)
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(1500, 16)) * 100 * big)
     x[500:900] = x[500]
+    x[900:950] = x[900] + rng.integers(-1, 2, size=(50, 16))  # scores that differ in their last bits only
     ids = rng.permutation(1500).astype(np.int64) * 5
-    q, qids = x[::37], ids[::37]
+    q, qids = np.vstack([x[::37], x[900:904]]), np.r_[ids[::37], ids[900:904]]
     row, found, score = topk.search(qids, q, ids, x, 5)
-    for i in range(len(q)):
-        want = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], v, strict=True)), int(c)) for c, v in zip(ids, x, strict=True) if c != qids[i])[:5] if i < 8 else None
-        if want is not None:
-            assert [(-int(s), int(c)) for r, c, s in zip(row, found, score, strict=True) if r == i] == want
+    for i in [*range(8), *range(len(q) - 4, len(q))]:
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], v, strict=True)), int(c)) for c, v in zip(ids, x, strict=True) if c != qids[i])[:5]
+        assert [(-int(s), int(c)) for r, c, s in zip(row, found, score, strict=True) if r == i] == want
 
 
-def test_reading_stops_early(monkeypatch):
+def test_many_blocks_and_runs(spark, tmp_path, monkeypatch):
+    for name, size in (("GROUP", 64), ("QUERIES", 4), ("SLICE", 3), ("GROUPS_PER_TASK", 2)):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4 if i % 9 else 6).astype(float).tolist(), 0, 7, "x") for i in range(1, 1200)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert collected(queries.op4_topk(spark, str(tmp_path))) == brute(rows)
+
+
+def test_share_of_entries_read():
+    """Random directions leave half of the entries to read at best; clustered ones let whole groups be passed over."""
     rng = np.random.default_rng(3)
-    x = np.floor(rng.normal(size=(8192, 64)) * 32)
-    depths = []
-    plain = topk.Lists.bounds
-    monkeypatch.setattr(topk.Lists, "bounds", lambda self, h, lo, depth, lower: depths.append(depth) or plain(self, h, lo, depth, lower))
-    topk.search(np.arange(100, dtype=np.int64), x[:100], np.arange(8192, dtype=np.int64), x, 5)
-    assert sum(d == topk.BLOCK for d in depths) <= 2
+    x = np.floor(rng.normal(size=(16_384, 64)) * 32)
+    block = topk.Search(np.arange(100, dtype=np.int64), x[:100], 5)
+    for at in range(0, len(x), topk.GROUP):
+        block.meet(np.arange(at, at + topk.GROUP), x[at : at + topk.GROUP])
+    assert block.read < 0.8 * block.met
+    centers = rng.normal(size=(8, 64)) * 300
+    near = np.floor(np.repeat(centers, topk.GROUP, axis=0) + rng.normal(size=(8 * topk.GROUP, 64)) * 10)
+    block = topk.Search(np.arange(100, dtype=np.int64), near[:100], 5)
+    for at in range(0, len(near), topk.GROUP):
+        block.meet(np.arange(at, at + topk.GROUP), near[at : at + topk.GROUP])
+    assert block.read < 0.2 * block.met
 
 
 def test_empty(spark, tmp_path):
