@@ -162,6 +162,60 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN more TH
 FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.seed = c.seed
 """
 
+
+
+def _crc_table() -> str:
+    """The 256 remainders of CRC-32 as an SQL list."""
+    out = []
+    for entry in range(256):
+        for _ in range(8):
+            entry = entry >> 1 ^ (0xEDB88320 if entry & 1 else 0)
+        out.append(entry)
+    return f"[{', '.join(map(str, out))}]::BIGINT[]"
+
+
+def _bytes_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+
+
+def _crc_sql(text: str) -> str:
+    step = f"lambda c, b: xor(({_crc_table()})[xor(c & 255, b) + 1], c >> 8)"
+    return f"xor(list_reduce({_bytes_sql(text)}, {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+OP5_SQL = f"""
+WITH RECURSIVE keys AS (SELECT DISTINCT doc_id, coalesce(doc_id, 0)::HUGEINT AS k FROM documents),
+walk AS (
+  SELECT doc_id, -1::BIGINT AS spot, 0::BIGINT AS ahead, CASE WHEN k < 0 THEN k + 18446744073709551616::HUGEINT ELSE k END AS k FROM keys
+  UNION ALL
+  SELECT doc_id, ahead, CAST(floor((ahead + 1)::DOUBLE * (2147483648.0::DOUBLE / (m // 8589934592 + 1)::DOUBLE)) AS BIGINT), m
+  FROM (SELECT doc_id, ahead, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS m FROM walk WHERE ahead < {SHARDS})
+),
+placed AS (SELECT doc_id, max(spot) AS spot, max(ahead) AS ahead, {_crc_sql("coalesce(doc_id::VARCHAR, '')")} % {sharding.SLOT_RUNS} AS run FROM walk GROUP BY doc_id),
+sized AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + {sharding.ROW_BYTES} AS BIGINT) AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents)
+SELECT s.doc_id, size, text_crc32, 'key' AS law, CAST(spot AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY spot ORDER BY run, s.doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(CASE WHEN ahead = {SHARDS} THEN {SHARDS} ELSE spot END AS INTEGER) AS grown_shard
+FROM sized s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
+"""
+
+OP9_SQL = """
+WITH given AS (SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+blocks AS (SELECT doc_id, n, o, substr(x, 2 * o + 1, 2 * (1024 + 99)) AS piece FROM (SELECT doc_id, x, n, unnest(range(0, n, 1024)) AS o FROM given)),
+windows AS (SELECT doc_id, o + j AS i, md5(substr(piece, 2 * j + 1, 200)) AS h FROM (SELECT doc_id, o, piece, unnest(range(0, least(1024, n - 99 - o))) AS j FROM blocks)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM windows) WHERE nth > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM late),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY doc_id, span),
+cuts AS (SELECT doc_id, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi, sum(hi - lo) AS gone FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT g.doc_id, n, gone, lo, array_to_string(list_transform(range(1, len(lo) + 2), lambda k: substr(x, 2 * coalesce(hi[k - 1], 0) + 1, 2 * (coalesce(lo[k], n) - coalesce(hi[k - 1], 0)))), '') AS rest
+  FROM given g JOIN cuts c USING (doc_id)
+  UNION ALL SELECT doc_id, n, 0, [], x FROM given WHERE doc_id NOT IN (SELECT doc_id FROM cuts)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(len(lo) AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
@@ -175,4 +229,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op7_minhash": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op4_topk": OP4_SQL, "op5_sharding": OP5_SQL, "op7_minhash": OP7_SQL, "op9_suffixes": OP9_SQL, "op10_mixing": OP10_SQL}

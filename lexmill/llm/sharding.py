@@ -77,7 +77,7 @@ def shard_by_key(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     walk = jump_walk(F.col("doc_id"), shards)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_RUNS)).cast("int")
+    salt = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SLOT_RUNS).cast("int")
     run = ["shard", "__run"]
     keyed = docs.select(F.col(f"`{key}`").alias("doc_id"))
     counts = keyed.select(walk["at"].cast("int").alias("shard"), salt.alias("__run")).groupBy(*run).agg(F.count("*").alias("__n"))
