@@ -175,7 +175,7 @@ def q65_append_unseen(spark, sf_dir):
     return rows.append_unseen(new, held, F.col("k"), F.col("c_custkey"), "o_orderkey")
 
 
-# Files are pages; every third has changed since the manifest, and every fifth isn't in it.
+# Files are pages, by page_id, since urls repeat; every third has changed since the manifest, and every fifth isn't in it.
 STATES_SQL = pick_sql(folder.STATES, "page_id % 4")
 
 
@@ -184,7 +184,7 @@ def _manifest(spark, sf_dir):
     stamp = lambda by: F.timestamp_seconds(F.lit(1_700_000_000) + by)
     listed = pages.select(F.col("url").alias("path"), stamp(F.col("page_id")).alias("modified"), "page_id")
     older = F.when(F.col("page_id") % 3 == 0, 1).otherwise(0)
-    held = pages.filter("page_id % 5 <> 0").select(F.col("url").alias("path"), stamp(F.col("page_id") - older).alias("modified"), pick(folder.STATES, F.col("page_id") % 4).alias("status"))
+    held = pages.filter("page_id % 5 <> 0").select(F.col("url").alias("path"), "page_id", stamp(F.col("page_id") - older).alias("modified"), pick(folder.STATES, F.col("page_id") % 4).alias("status"))
     return listed, held
 
 
@@ -202,7 +202,7 @@ def q66_manifest(spark, sf_dir):
     SELECT mode, bool_and(done) AS complete, count(*) FILTER (NOT done) AS resumable FROM (SELECT mode, status = 'grammar_done' OR (mode = 'vocab' AND status = 'vocab_done') AS done FROM s, m) GROUP BY mode""",
 )
 def q67_run_complete(spark, sf_dir):
-    status = folder.refresh_manifest(*_manifest(spark, sf_dir))
+    status = folder.refresh_manifest(*_manifest(spark, sf_dir), "page_id")
     out = [folder.run_complete(status, mode).select(F.lit(mode).alias("mode"), "complete", "resumable") for mode in ("vocab", "grammar", "all")]
     return out[0].unionByName(out[1]).unionByName(out[2])
 

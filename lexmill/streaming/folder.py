@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # States of a file, in order.
 STATES = ("pending", "text_done", "vocab_done", "grammar_done", "failed")
+#: The states by how much of a file is done.
+PROGRESS = ("pending", "failed", "text_done", "vocab_done", "grammar_done")
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -40,12 +42,16 @@ def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(known, (F.col("path") == F.col("__p")) & (F.col("modified") == F.col("__m")), "left_anti")
 
 
-def refresh_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(path, modified, status): entries of present files, reset to pending where the file changed."""
-    old = manifest.select(F.col("path").alias("__p"), F.col("modified").alias("__m"), F.col("status").alias("__s"))
-    joined = files.select("path", "modified").join(old, F.col("path") == F.col("__p"), "left")
-    same = F.col("__m") == F.col("modified")
-    return joined.select("path", "modified", F.when(same, F.col("__s")).otherwise(F.lit(STATES[0])).alias("status"))
+def refresh_manifest(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
+    """(path, modified, status, and the key): one row a present file, reset to pending where the file changed.
+
+    The key names a file in both tables, where paths repeat. Of several entries with the file's key and
+    modification time the one furthest on counts.
+    """
+    furthest = F.max_by("status", F.array_position(F.array(*map(F.lit, PROGRESS)), F.col("status")))
+    old = manifest.groupBy(F.col(key).alias("__k"), F.col("modified").alias("__m")).agg(F.lit(True).alias("__same"), furthest.alias("__s"))
+    joined = files.join(old, (F.col(key) == F.col("__k")) & (F.col("modified") == F.col("__m")), "left")
+    return joined.select(*dict.fromkeys((key, "path", "modified")), F.when(F.col("__same"), F.col("__s")).otherwise(F.lit(STATES[0])).alias("status"))
 
 
 def is_done(status: Column, mode: str) -> Column:
