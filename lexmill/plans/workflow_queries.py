@@ -191,9 +191,9 @@ def _manifest(spark, sf_dir):
 @query("q66_manifest", f"SELECT url AS path, CASE WHEN page_id % 5 = 0 OR page_id % 3 = 0 THEN 'pending' ELSE {STATES_SQL} END AS status, page_id % 5 = 0 OR page_id % 3 = 0 AS fresh FROM pages")
 def q66_manifest(spark, sf_dir):
     listed, held = _manifest(spark, sf_dir)
-    status = folder.refresh_manifest(listed, held)
-    fresh = folder.new_files(listed, held).select(F.col("path").alias("p"))
-    return status.join(fresh, F.col("path") == F.col("p"), "left").select("path", "status", F.col("p").isNotNull().alias("fresh"))
+    status = folder.refresh_manifest(listed, held, "page_id")
+    fresh = folder.new_files(listed, held, "page_id").select("page_id", F.lit(True).alias("new")).distinct()
+    return status.join(fresh, "page_id", "left").select("path", "status", F.col("new").isNotNull().alias("fresh"))
 
 
 @query(

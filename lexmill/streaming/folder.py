@@ -36,10 +36,10 @@ def ingest(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[
     return len(seen)
 
 
-def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files that the manifest lacks, or has with another modification time."""
-    known = manifest.select(F.col("path").alias("__p"), F.col("modified").alias("__m"))
-    return files.join(known, (F.col("path") == F.col("__p")) & (F.col("modified") == F.col("__m")), "left_anti")
+def new_files(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
+    """Files whose key the manifest lacks, or has with another modification time."""
+    known = manifest.select(F.col(key).alias("__k"), F.col("modified").alias("__m"))
+    return files.join(known, (F.col(key) == F.col("__k")) & (F.col("modified") == F.col("__m")), "left_anti")
 
 
 def refresh_manifest(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:

@@ -27,6 +27,10 @@ def test_run_complete_of_repeated_urls(spark, tmp_path):
     same_as_sql(spark, tmp_path, "q67_run_complete", REPEATED)
 
 
+def test_manifest_of_repeated_urls(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "q66_manifest", REPEATED)
+
+
 def test_entries_that_repeat(spark):
     t0, t1 = datetime(2026, 1, 1), datetime(2026, 1, 2)
     now = spark.createDataFrame([("a", t1), ("b", t1), ("c", t1)], "path string, modified timestamp")
