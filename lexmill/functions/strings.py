@@ -81,9 +81,9 @@ def casefold(text: pd.Series) -> pd.Series:
 COMMON_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
-def unescape_common(text: Column) -> Column:
-    """The entities of COMMON_ENTITIES in one pass each; enough for text this engine escaped itself."""
-    for entity, char in COMMON_ENTITIES.items():
+def unescape_common(text: Column, entities: dict[str, str] = COMMON_ENTITIES) -> Column:
+    """The entities of a table, one after the other; enough for text this engine escaped itself."""
+    for entity, char in entities.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
@@ -125,10 +125,10 @@ def escape(text: Column) -> Column:
 TAG = r"<[^>]+>"
 
 
-def strip_html(text: Column, every_entity: bool = True) -> Column:
-    """Text without tags: tags go first, entities after, NBSP becomes a space."""
+def strip_html(text: Column, entities: dict[str, str] | None = None) -> Column:
+    """Text without tags: tags go first, entities after (as HTML reads them, or those of a table only), NBSP becomes a space."""
     bare = F.regexp_replace(text, TAG, "")
-    bare = unescape(bare) if every_entity else unescape_common(bare)
+    bare = unescape(bare) if entities is None else unescape_common(bare, entities)
     return strip(F.replace(bare, F.lit(" "), F.lit(" ")))
 
 

@@ -1,10 +1,15 @@
 """Queries of pages against their SQL on pages that the smallest tables lack."""
 
+import html
+import random
+import re
 from collections import Counter
 from datetime import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
+from lexmill.functions import strings
 from lexmill.plans.catalogue import ORACLE_SQL, QUERIES
 from lexmill.streaming import folder
 
@@ -37,3 +42,13 @@ def test_entries_that_repeat(spark):
     history = [("a", t0, "grammar_done"), ("a", t1, "pending"), ("a", t1, "vocab_done"), ("a", t1, "failed"), ("b", t0, "failed"), ("b", t0, "text_done"), ("c", t1, "failed"), ("c", t1, "pending")]
     old = spark.createDataFrame(history, "path string, modified timestamp, status string")
     assert sorted((r.path, r.status) for r in folder.refresh_manifest(now, old).collect()) == [("a", "vocab_done"), ("b", "pending"), ("c", "failed")]
+
+
+def test_stripped_pages_with_cut_entities(spark, tmp_path):
+    rng = random.Random(7)
+    pieces = ["&amp", "&am", "&lt", "&copy", "&", ";", "p", "<b>", "<", ">", "<a\nb>", " ", "\xa0", "\u3000", "\x1c", "\n", "&amp;", "&lt;", "&gt;", "&quot;", "&nbsp;", "&copy;", "&middot;", "&eacute;", "&#39;", "&#x27;", "&#160;", "漢"]
+    texts = ["a &ampp{}", "&amp;lt;b&amp;gt;", "", None, *("".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(400))]
+    same_as_sql(spark, tmp_path, "q07_strip_html", [(i, "u", t) for i, t in enumerate(texts)])
+    # the function itself reads entities as HTML does
+    every = spark.createDataFrame([(t,) for t in texts if t is not None], "t string").select("t", strings.strip_html(F.col("t")).alias("x")).collect()
+    assert [r.x for r in every] == [html.unescape(re.sub("<[^>]+>", "", r.t)).replace("\xa0", " ").strip() for r in every]
